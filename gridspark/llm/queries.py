@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, rollups
+from . import fingerprint, language, packing, rollups, sharding, toxicity
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
+    "op10_language": language.op10_language,
 }
 
 ORACLES: dict[str, str] = {}
