@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, packing, rollups, sharding, toxicity
+from . import fingerprint, language, packing, pages, rollups, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op4_html": pages.op4_html,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_language": language.op10_language,
