@@ -1,20 +1,54 @@
-"""Corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, packing."""
+"""Corpus pipeline: toxicity, near-dedup, suffix-array dedup, decontamination, packing.
+
+Each stage takes all rows its predecessor kept (written as Parquet and read again) and its
+decisions take effect on the rows.  All but the last return the columns of documents:
+toxic documents go; of each group of near duplicates one document stays; bytes of repeated
+passages leave the text (a text that loses all of it stays as an empty one); documents
+that leak a benchmark item go; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import packing
+from gridspark.llm import common, decontaminate, neardup, packing, suffix, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.dedup_text(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
 STAGES = [
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
 ]
 
+#: A trained classifier, sketches and token ids have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

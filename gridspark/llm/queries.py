@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, packing, pages, rollups, sharding, toxicity
+from . import decontaminate, fingerprint, language, neardup, packing, pages, rollups, sharding, suffix, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_html": pages.op4_html,
+    "op5_suffix": suffix.op5_suffix,
+    "op6_neardup": neardup.op6_neardup,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": rollups.op9_token_counts,
     "op10_language": language.op10_language,
