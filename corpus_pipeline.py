@@ -10,6 +10,7 @@ that leak a benchmark item go; the rest is packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridspark.llm import common, decontaminate, neardup, packing, suffix, toxicity
 
@@ -24,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.dedup_text(docs)
+    return suffix.dedup_text(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
