@@ -204,3 +204,63 @@ def netcdf3(dims: dict, variables: dict, attrs: dict | None = None, version: int
         for _, a in recs:
             body += slab(a, r) if len(recs) == 1 else pad(slab(a, r))
     return head + table(begins) + body
+
+
+def hdf5(variables: dict, chunk: tuple | None = None) -> bytes:
+    """A NetCDF-4-like file: name -> (array, attrs); chunked with shuffle and deflate where ``chunk`` is given."""
+    import zlib
+
+    out = bytearray(b"\0" * 48)
+    u = lambda v, n: int(v).to_bytes(n, "little")
+
+    def put(b: bytes) -> int:
+        at = len(out)
+        out.extend(b + b"\0" * (-len(b) % 8))
+        return at
+
+    def dtype(a: np.dtype) -> bytes:
+        size = a.itemsize
+        if a.kind == "f":
+            e, m = (8, 23) if size == 4 else (11, 52)
+            return bytes([0x11, 0x20, size * 8 - 1, 0]) + u(size, 4) + u(0, 2) + u(8 * size, 2) + bytes([m, e, 0, m]) + u((1 << (e - 1)) - 1, 4)
+        return bytes([0x10, 8 if a.kind == "i" else 0, 0, 0]) + u(size, 4) + u(0, 2) + u(8 * size, 2)
+
+    space = lambda shape: bytes([1, len(shape), 0, 0, 0, 0, 0, 0]) + b"".join(u(s, 8) for s in shape)
+    pad8 = lambda b: b + b"\0" * (-len(b) % 8)
+
+    def attribute(k: str, v) -> bytes:
+        if isinstance(v, str):
+            raw = v.encode() + b"\0"
+            t, s, body = bytes([0x13, 0, 0, 0]) + u(len(raw), 4), space(()), raw
+        else:
+            v = np.atleast_1d(v)
+            t, s, body = dtype(v.dtype), space(v.shape), v.astype(v.dtype.newbyteorder("<")).tobytes()
+        n = k.encode() + b"\0"
+        return bytes([1, 0]) + u(len(n), 2) + u(len(t), 2) + u(len(s), 2) + pad8(n) + pad8(t) + pad8(s) + body
+
+    def header(messages: list[tuple[int, bytes]]) -> int:
+        body = b"".join(u(k, 2) + u(len(pad8(b)), 2) + b"\0" * 4 + pad8(b) for k, b in messages)
+        return put(bytes([1, 0]) + u(len(messages), 2) + u(1, 4) + u(len(body), 4) + b"\0" * 4 + body)
+
+    links = []
+    for name, (a, attrs) in variables.items():
+        a = a.astype(a.dtype.newbyteorder("<"))
+        msgs = [(1, space(a.shape)), (3, dtype(a.dtype))]
+        if chunk and a.ndim == len(chunk):
+            keys = b""
+            grid = list(np.ndindex(*[-(-s // c) for s, c in zip(a.shape, chunk, strict=True)]))
+            for g in grid:
+                part = np.zeros(chunk, a.dtype)
+                own = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(g, chunk, a.shape, strict=True))
+                part[tuple(slice(0, s.stop - s.start) for s in own)] = a[own]
+                raw = zlib.compress(np.frombuffer(part.tobytes(), np.uint8).reshape(-1, a.itemsize).T.tobytes())
+                keys += u(len(raw), 4) + u(0, 4) + b"".join(u(i * c, 8) for i, c in zip(g, chunk, strict=True)) + u(0, 8) + u(put(raw), 8)
+            tree = put(b"TREE" + bytes([1, 0]) + u(len(grid), 2) + b"\xff" * 16 + keys)
+            msgs.append((8, bytes([3, 2, a.ndim + 1]) + u(tree, 8) + b"".join(u(c, 4) for c in chunk) + u(a.itemsize, 4)))
+            msgs.append((11, bytes([1, 2]) + b"\0" * 6 + u(2, 2) + u(0, 2) + u(0, 2) + u(1, 2) + u(a.itemsize, 4) + b"\0" * 4 + u(1, 2) + u(0, 2) + u(0, 2) + u(1, 2) + u(4, 4) + b"\0" * 4))
+        else:
+            msgs.append((8, bytes([3, 1]) + u(put(a.tobytes()), 8) + u(a.nbytes, 8)))
+        links.append((name, header(msgs + [(12, attribute(k, v)) for k, v in attrs.items()])))
+    root = header([(6, bytes([1, 0]) + bytes([len(n.encode())]) + n.encode() + u(at, 8)) for n, at in links])
+    out[:48] = b"\x89HDF\r\n\x1a\n" + bytes([2, 8, 8, 0]) + u(0, 8) + b"\xff" * 8 + u(len(out), 8) + u(root, 8) + b"\0" * 4
+    return bytes(out)

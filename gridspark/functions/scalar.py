@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INF = F.lit(float("inf"))
 
 
 def col(x) -> Column:
