@@ -85,8 +85,10 @@ def _prefixes(batch, order_v, order_df, k, num, den):
     size = np.array([len(x.as_buffer()) // 8 for x in batch.column(2)], np.int64)
     v = _u64(b"".join(batch.column(2).to_pylist()))
     row = np.repeat(np.arange(len(n)), size)
-    at = np.searchsorted(order_v, v)
-    df = np.where((at < len(order_v)) & (order_v[np.minimum(at, max(len(order_v) - 1, 0))] == v) if len(order_v) else False, order_df[np.minimum(at, max(len(order_v) - 1, 0))] if len(order_v) else 0, 0)
+    df = np.zeros(len(v), np.int64)
+    if len(order_v):
+        at = np.minimum(np.searchsorted(order_v, v), len(order_v) - 1)
+        df = np.where(order_v[at] == v, order_df[at], 0)
     o = np.lexsort((v, df, row))
     row, v, df = row[o], v[o], df[o]
     pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -198,7 +200,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 
     sets = C.columns_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, s binary")
-    return sets.join(wanted.select(F.col("i").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sets.join(wanted.select(F.col("i").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -300,14 +302,34 @@ def rest_links(members: DataFrame, comp: DataFrame, docs: DataFrame, num: int, d
 
 
 def near_groups(docs: DataFrame, num: int = 4, den: int = 5, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row (exact components of J >= num/den)."""
+    """doc_id, n_shingles, component_id of every row (exact components of J >= num/den).
+
+    Rows that repeat a doc_id are one document with several texts, linked by any of them.
+    """
+    most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    if most == 1:
+        return _groups(docs, num, den, k)
+    from pyspark.sql import Window as W
+
+    own = C.columns_of(docs, "doc_id", "text")
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
+    own = C.cut(own.withColumn("_i", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") * most + n)), "numbered")
+    found = C.cut(_groups(own.select(F.col("_i").alias("doc_id"), "text"), num, den, k), "groups")
+    ids = own.where("_i is not null").select("_i", F.col("doc_id").alias("d"))
+    named = found.join(ids, found.doc_id == ids._i, "left").select("d", "n_shingles", "component_id")
+    named = named.join(ids.select(F.col("_i").alias("component_id"), F.col("d").alias("e")), "component_id", "left").select("d", "n_shingles", "e")
+    comp = C.components(named.where("d <> e").select(F.col("d").alias("a"), F.col("e").alias("b")))
+    return named.join(comp.select(F.col("node").alias("d"), "component"), "d", "left").select(F.col("d").alias("doc_id"), "n_shingles", F.coalesce("component", "d").alias("component_id"))
+
+
+def _groups(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """near_groups of documents whose ids do not repeat."""
     spark = docs.sparkSession
     rows = C.cut(class_rows(docs, k), "classes")
     firsts = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     firsts = C.cut(firsts, "firsts")
     ids = firsts.select(F.col("rep").alias("doc_id"))
-    # a repeated doc_id with another text is the same document: its classes are one by an edge below
-    reps = C.cut(rows.where("n > 0").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "key"]), "reps")
+    reps = C.cut(rows.where("n > 0").join(ids, "doc_id", "left_semi"), "reps")
     table = frequent_values(reps).collect()  # at most MAX_LONG_LISTS pairs of numbers
     pairs = sorted((r.value & (2**64 - 1), r.df) for r in table)
     order = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64))
@@ -327,11 +349,7 @@ def near_groups(docs: DataFrame, num: int = 4, den: int = 5, k: int = K) -> Data
     comp = C.cut(C.components(links), "comp")
     members = long_.select("value", "doc_id", "n").unionByName(found.join(reps.select("doc_id", "n"), "doc_id").select("value", "doc_id", "n")).distinct()
     more = C.cut(rest_links(members, comp, docs, num, den), "links")
-    same = rows.where("n > 0").join(firsts, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # classes hang on their representative: components run over representatives and repeated ids only
-    over = same.groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select("b")
-    odd = same.join(over, "b", "left_semi")
-    comp = C.cut(C.components(links.unionByName(more).unionByName(odd)), "comp")
+    comp = C.cut(C.components(links.unionByName(more)), "comp")
     by_class = firsts.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = rows.join(by_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     nothing = C.columns_of(docs, "doc_id", "text").where("doc_id is null")
