@@ -203,10 +203,11 @@ def extract_pages(pages: DataFrame, reach: int = REACH) -> DataFrame:
     """page_id, url, text of every page.
 
     Pages are range-partitioned by (host, path), so a host with a third of all pages
-    spreads over many tasks.  Neighbours are the ``reach`` pages on either side within a
-    task; at the edge of a range a page has neighbours on one side only.
+    spreads over many tasks; ranges hold 64 pages or more on average.  Neighbours are the
+    ``reach`` pages on either side within a range; the first and last pages of a range have
+    neighbours on one side only.
     """
-    n = C.parts(pages.sparkSession, 12)
+    n = max(1, min(C.parts(pages.sparkSession, 12), pages.count() // 64))
     p = C.columns_of(pages, "page_id", "url", "html").withColumn("key", F.coalesce(order_key(F.col("url")), F.lit("")))
     p = p.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
 
