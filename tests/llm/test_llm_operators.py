@@ -276,10 +276,11 @@ def test_near_groups_odd_inputs(spark):
     assert neardup.near_groups(frame(spark, []).limit(0)).count() == 0
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components_against_union_find(spark, small):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)]
-    got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     root = {}
 
     def find(x):
