@@ -213,7 +213,48 @@ def coefficients(m: dict, data: bytes) -> list[tuple[int, int, float, float]]:
     if m["packing"] == "spectral_simple":
         v = np.r_[ibm_float(unsigned(b, 11, 4)), 0.0, _scale(Stream(b, 15).take(2 * len(order) - 2, b[10]), b, m["decimal"])]
         return [(k, n, float(v[2 * i]), 0.0 if k == 0 else float(v[2 * i + 1])) for i, (k, n) in enumerate(order)]
-    raise Unsupported(f"coefficients packed as {m['packing']}")
+    if m["packing"] != "spectral_complex":
+        raise Unsupported(f"packing {m['packing']} has no coefficients")
+    power, js, ks, ms = signed(b, 13, 2) / 1e3, b[15], b[16], b[17]
+    if not js == ks == ms or ks > big:
+        raise Unsupported("a sub-truncation that is no triangle")
+    n = np.array([c[1] for c in order])
+    scale = np.where(n > 0, np.maximum(n * (n + 1.0), 1.0) ** -power, 0.0)
+    inner = n <= ks
+    k = int(inner.sum())
+    out = np.zeros((len(order), 2))
+    raw = [ibm_float(unsigned(b, 18 + 4 * q, 4)) for q in range(2 * k)]
+    out[inner] = np.array(raw).reshape(k, 2)
+    out[n == ks] *= scale[n == ks][:, None]  # the last row of the subset is scaled as well
+    x = Stream(b, 18 + 8 * k).take(2 * (len(order) - k), b[10]) if b[10] else np.zeros(2 * (len(order) - k))
+    out[~inner] = _scale(x, b, m["decimal"]).reshape(-1, 2) * scale[~inner][:, None]
+    return [(c[0], c[1], float(v[0]), 0.0 if c[0] == 0 and c[1] > ks else float(v[1])) for c, v in zip(order, out, strict=True)]
+
+
+def matrix(m: dict, data: bytes) -> np.ma.MaskedArray:
+    """True matrices of values: (point, NR, NC), masked where a secondary bitmap has no value."""
+    a, size = m["data_range"]
+    b = data[a : a + size]
+    if m["packing"] != "grid_simple_matrix" or not b[13] & 0x40:
+        raise Unsupported("not a matrix of values")
+    if not b[13] & 0x20:
+        raise Unsupported("a matrix of values without secondary bitmaps")
+    count = points(m["grid"])
+    bits = None
+    if m["bitmap_range"]:
+        p, k = m["bitmap_range"]
+        bits = bitmap(data[p : p + k], count)
+    nr, nc = unsigned(b, 14, 2), unsigned(b, 16, 2)
+    present = count if bits is None else int(bits.sum())
+    if unsigned(b, 11, 2) != present or not nr * nc:
+        raise FormatError("the matrix header disagrees with the grid")
+    s = Stream(b, 24 + 4 * (b[19] + b[21]))
+    second = s.take(present * nr * nc, 1)
+    s.align()
+    own = place(_scale(s.take(int(second.sum()), b[10]), b, m["decimal"]), second, present * nr * nc).reshape(present, nr * nc)
+    out = np.ma.masked_all((count, nr * nc))
+    out[np.ones(count, bool) if bits is None else bits.astype(bool)] = own
+    return out.reshape(count, nr, nc)
 
 
 def expand_reduced(v: np.ma.MaskedArray, pl: list[int]) -> np.ma.MaskedArray:

@@ -330,3 +330,46 @@ def coefficients(m: dict, data: bytes) -> list[tuple[int, int, float, float]]:
         f = float(n * (n + 1)) ** -p
         found[k, n] = packed[2 * i] * f, packed[2 * i + 1] * f
     return [(k, n, float(found[k, n][0]), 0.0 if k == 0 else float(found[k, n][1])) for k, n in order]
+
+
+def _reach(kind: int, ni: int, nj: int) -> np.ndarray:
+    """Largest i kept for each j of a truncation: 77 rectangle, 88 ellipse, 99 diamond."""
+    j = np.arange(nj + 1)
+    if kind == 77:
+        return np.full(nj + 1, ni)
+    if kind == 88:
+        return (ni / nj * np.sqrt(np.maximum(nj * nj - j * j, 0)) + 1e-10).astype(np.int64) if nj else np.array([ni])
+    if kind == 99:
+        return ni - j * ni // nj if nj else np.array([-1])
+    raise Unsupported(f"bi-Fourier truncation {kind}")
+
+
+def bifourier(m: dict, data: bytes) -> list[tuple[int, int, float, float, float, float]]:
+    """(j, i, four coefficients) of a bi-Fourier message (5.53), j outermost."""
+    if m["drs_template"] != 53:
+        raise Unsupported("not a bi-Fourier message")
+    d, g = m["drs"], m["grid"]
+    a, size = m["data_range"]
+    body = data[a : a + size]
+    kind = {1: ">f4", 2: ">f8"}.get(d[23])
+    if kind is None:
+        raise Unsupported(f"precision {d[23]} of the unpacked subset")
+    p, sub_i, sub_j = signed(d, 11, 4) / 1e6, unsigned(d, 15, 2), unsigned(d, 17, 2)
+    reach = _reach(g["truncation_type"], g["n"], g["m"])
+    j = np.repeat(np.arange(g["m"] + 1), np.maximum(reach + 1, 0))
+    i = np.concatenate([np.arange(max(r + 1, 0)) for r in reach.tolist()])
+    by_j, by_i = _reach(d[9], sub_i, sub_j), _reach(d[9], sub_j, sub_i)
+    inner = (i <= sub_i) & (j <= sub_j) & (i <= by_j[np.minimum(j, sub_j)]) & (j <= by_i[np.minimum(i, sub_i)])
+    if d[10]:
+        inner |= (i == 0) | (j == 0)
+    if 4 * len(i) != m["n_values"]:
+        raise FormatError("the truncation gives another number of coefficients")
+    out = np.empty((len(i), 4))
+    n = int(inner.sum())
+    out[inner] = np.frombuffer(body, kind, 4 * n).astype(np.float64).reshape(n, 4)
+    scale = (i[~inner] ** 2 + j[~inner] ** 2).astype(np.float64) ** p
+    if (scale == 0).any():
+        raise FormatError("the Laplacian of a packed coefficient is zero")
+    x = Stream(body, 4 * n * int(kind[2])).take(4 * int((~inner).sum()), d[8])
+    out[~inner] = _apply(x, d).reshape(-1, 4) / scale[:, None]
+    return [(int(b), int(a), *map(float, c)) for a, b, c in zip(i, j, out, strict=True)]

@@ -112,7 +112,7 @@ def run_length2(levels: np.ndarray, ni: int, nj: int, bits: int = 4, table=(10,
 def grib1(ni: int, nj: int, bds: bytes, decimal: int = 0, bitmap=None, parameter: int = 11, level: tuple = (100, 1, 244), la=(90.0, -90.0), lo=(0.0, 354.375)) -> bytes:
     deg = lambda v: _sm(round(v * 1e3), 3)
     pds = bytes([0, 0, 28, 3, 98, 130, 255, 0x80 | (0x40 if bitmap is not None else 0), parameter, *level, 24, 3, 14, 15, 9, 1, 6, 0, 0, 0, 0, 0, 21, 0]) + _sm(decimal, 2)
-    gds = bytes([0, 0, 32, 0, 255, 0]) + struct.pack(">HH", ni, nj) + deg(la[0]) + deg(lo[0]) + bytes([128]) + deg(la[1]) + deg(lo[1]) + struct.pack(">HH", round(abs(lo[1] - lo[0]) / max(ni - 1, 1) * 1e3), round(abs(la[1] - la[0]) / max(nj - 1, 1) * 1e3)) + bytes([0]) + b"\0" * 4
+    gds = bytes([0, 0, 32, 0, 255, 0]) + struct.pack(">HH", ni, nj) + deg(la[0]) + deg(lo[0]) + bytes([128]) + deg(la[1]) + deg(lo[1]) + struct.pack(">HH", min(65535, round(abs(lo[1] - lo[0]) / max(ni - 1, 1) * 1e3)), min(65535, round(abs(la[1] - la[0]) / max(nj - 1, 1) * 1e3))) + bytes([0]) + b"\0" * 4
     bms = b""
     if bitmap is not None:
         body = pack(np.asarray(bitmap), 1)

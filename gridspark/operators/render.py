@@ -313,3 +313,66 @@ def synthesize(coeffs: DataFrame, truncation: int, lats: list[float], lons: list
 
     rows = spark.range(len(lats)).select(F.col("id").cast("int").alias("j"))
     return rows.repartition(max(1, min(len(lats), spark.sparkContext.defaultParallelism))).mapInArrow(run, "j int, i int, value double")
+
+
+# ---- extents and pictures ----------------------------------------------------------------
+
+PER_EDGE = 512
+
+
+def bounding_box(spark: SparkSession, grid) -> DataFrame:
+    """(lat_min, lat_max, lon_min, lon_max) of a grid, from 513 points on each edge and the smallest arc.
+
+    A grid round the globe spans 360 degrees; a polar grid that holds its pole spans all
+    longitudes up to the pole.
+    """
+    if isinstance(grid, LatLon) and grid.periodic and type(grid).point is not None and not hasattr(grid, "pole_lat"):
+        lo, hi = sorted((grid.lat_first, grid.lat_last))
+        return spark.sql(f"SELECT {lo}D AS lat_min, {hi}D AS lat_max, {grid.lon_first}D AS lon_min, {grid.lon_first + 360}D AS lon_max")
+    t = F.col("id") / float(PER_EDGE)
+    i1, j1 = float(grid.ni - 1), float(grid.nj - 1)
+    edges = F.explode(F.array(*[F.struct(F.lit(i).cast("double").alias("i") if not isinstance(i, Column) else i.alias("i"), F.lit(j).cast("double").alias("j") if not isinstance(j, Column) else j.alias("j")) for i, j in ((t * i1, 0.0), (t * i1, j1), (0.0, t * j1), (i1, t * j1))]))
+    p = spark.range(PER_EDGE + 1).select(edges.alias("e")).select("e.i", "e.j")
+    lat, lon = forward_bilinear(grid, F.col("i"), F.col("j")) if isinstance(grid, LatLon) and not hasattr(grid, "pole_lat") else grid.point(F.col("i"), F.col("j"))
+    p = p.withColumns({"lat": lat, "lon": lon}).where("lat is not null and lon is not null")
+    box = p.agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max")).crossJoin(enclosing_arc(p))  # one row each
+    if hasattr(grid, "pole_inside") and grid.pole_inside():
+        return box.select((F.lit(-90.0) if grid.south else F.col("lat_min")).alias("lat_min"), (F.col("lat_max") if grid.south else F.lit(90.0)).alias("lat_max"), F.lit(-180.0).alias("lon_min"), F.lit(180.0).alias("lon_max"))
+    return box
+
+
+def png_images(painted: DataFrame, w: int, h: int, *keys: str) -> DataFrame:
+    """(keys, png): painted pixels (px, py, r, g, b, a) of each picture as PNG bytes.
+
+    Pictures are assembled by rows, then rows by picture; pixels that are absent are transparent.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..codec import png
+
+    four = F.unhex(F.format_string("%02X%02X%02X%02X", "r", "g", "b", "a"))
+    rows = painted.withColumn("_c", four).groupBy(*keys, "py").agg(F.array_sort(F.collect_list(F.struct("px", "_c"))).alias("_p"))
+    rows = rows.groupBy(*keys).agg(F.collect_list(F.struct("py", "_p")).alias("_r"))
+    schema = rows.select(*keys).schema.add("png", "binary")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for picture in b.column(b.num_columns - 1).to_pylist():
+                grid = np.zeros((h, w, 4), np.uint8)
+                for row in picture:
+                    for c in row["_p"]:
+                        grid[row["py"], c["px"]] = np.frombuffer(c["_c"], np.uint8)
+                out.append(png.encode(grid.reshape(h, 4 * w), 8, 6))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def render_slice(variable: DataFrame, fixed: dict[str, int], y: str, x: str, grid, unpack=None, **options) -> DataFrame:
+    """A picture of a slice of an N-D variable in long form: fix dimensions, CF-unpack, render."""
+    from .field import plane
+
+    f = plane(variable, fixed, y, x)
+    return render(f.withColumn("value", unpack(F.col("value"))) if unpack else f, grid, **options)
