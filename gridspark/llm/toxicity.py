@@ -26,8 +26,8 @@ from . import common as C
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
-MAX_FEATURES = 1 << 15
-MAX_ROWS, MAX_BYTES = 6000, 24 << 20
+MAX_FEATURES = 1 << 12
+MAX_ROWS, MAX_BYTES = 6000, 16 << 20
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -76,8 +76,8 @@ def fit(texts: list[str], labels: list[int], ngrams=NGRAMS, bits: int = BITS, mo
     if not len(y) or not y.any():
         return model
     batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]
-    count = np.zeros((2, 1 << bits))
-    at, parts = 0, list(C.chunks(iter(batches), limit=1 << 19))
+    count = np.zeros((2, 1 << bits), np.float32)
+    at, parts = 0, list(C.chunks(iter(batches), limit=1 << 18))
     for part in parts:
         lab = y[at : at + part.num_rows]
         keys = np.unique(np.concatenate([(row.astype(np.int64) << bits) | b for row, b in _grams(part.column(0), ngrams, bits)] or [np.zeros(0, np.int64)]))
@@ -95,8 +95,8 @@ def fit(texts: list[str], labels: list[int], ngrams=NGRAMS, bits: int = BITS, mo
     rows, feats, at = [], [], 0
     for part in parts:
         r, f = _present(part.column(0), model.slot, bits, ngrams)
-        rows.append(r + at)
-        feats.append(f)
+        rows.append((r + at).astype(np.int32))
+        feats.append(f.astype(np.int32))
         at += part.num_rows
     rows, feats = np.concatenate(rows), np.concatenate(feats)
     scale = ratio[chosen]
