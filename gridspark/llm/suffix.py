@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH, WORD = 50, 20
-BLOCK = 12 << 20  # text bytes of a block and of a group of documents
+BLOCK = 8 << 20  # text bytes of a block before the first shuffle
+GROUP, BUCKET = 4 << 20, 16 << 20  # text bytes of a group of documents and behind a bucket of triggers
 HOT = 20_000
 BLOB = "bucket int, kind int, data binary"
 EMPTY = -1
@@ -393,7 +394,8 @@ def _covered(ids, data, off, right: pa.Table) -> np.ndarray:
         row = np.searchsorted(ids, doc)
         s = off[row] + start
         e = np.minimum(off[row] + end, off[row + 1])
-        delta[:] += np.bincount(s, minlength=len(delta)).astype(np.int32) - np.bincount(e, minlength=len(delta)).astype(np.int32)
+        np.add.at(delta, s, 1)
+        np.subtract.at(delta, e, 1)
 
     if len(ids):
         doc, start, length = _stack(_blobs(right, 1), SPAN)
@@ -406,7 +408,8 @@ def _covered(ids, data, off, right: pa.Table) -> np.ndarray:
             if len(i):
                 start = pos[i].astype(np.int64) - k
                 add(doc[i], start, start + DEPTH)
-    return np.cumsum(delta[:-1]) > 0
+    np.cumsum(delta, out=delta)
+    return delta[:-1] > 0
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -423,7 +426,7 @@ def _rewrite(with_text: bool, docs: DataFrame, spans: DataFrame, extra: list[str
         edge[1:] &= ~gone[:-1]
         inner = off[1:-1][off[1:-1] < len(data)]
         edge[inner] = gone[inner]
-        removed, spans_n = np.r_[0, np.cumsum(gone)][off], np.r_[0, np.cumsum(edge)][off]
+        removed, spans_n = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)])[off] for x in (gone, edge))
         cols: list[list] = [[], [], [], [], []]
         texts = []
         for k, d in enumerate(ids.tolist()):
@@ -465,8 +468,8 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(C.parts(spark, 4), -(-total // BLOCK)) | 1
-    buckets = max(C.parts(spark, 4), -(-total // (2 * BLOCK)))
+    groups = max(C.parts(spark, 4), -(-total // GROUP)) | 1
+    buckets = max(C.parts(spark, 4), -(-total // BUCKET))
     return docs.withColumn("g", group_col(groups)), groups, buckets
 
 
