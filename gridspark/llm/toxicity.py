@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast(model)  # a fixed number of features: under 5 MB
 
     def run(batches):
-        for b in C.chunks(batches, limit=1 << 19):
+        for b in C.chunks(batches, limit=1 << 18):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(predict(held.value, b.column(1)), pa.float64())], ["doc_id", "score"])
 
     return C.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -164,7 +164,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in C.chunks(batches, limit=1 << 19):
+        for b in C.chunks(batches, limit=1 << 18):
             keep = predict(held.value, b.column(at)) < threshold
             yield b.filter(pa.array(keep))
 
