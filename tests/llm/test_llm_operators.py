@@ -216,6 +216,8 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
 
 def test_suffix_dedup_small_blocks_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", 2000)
+    monkeypatch.setattr(suffix, "GROUP", 1500)
+    monkeypatch.setattr(suffix, "BUCKET", 4000)
     rows = [*corpus(), *corpus()[:20], (1, prose(random.Random(1), 40))]
     out = suffix.removed(frame(spark, rows)).collect()
     want = brute_removed(rows)
