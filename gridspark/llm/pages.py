@@ -8,8 +8,9 @@ HTML itself marks as not being the article (nav, footer, aside, form, script, el
 whose class or id names a menu, advert, comment, notice, ...) are dropped beforehand, as
 neighbours may show different adverts.  Inside an <article> or <main>, a shared line
 counts as template only when it is no sentence (no closing punctuation) and is not the
-page's heading; and a neighbour whose article is mostly the same is a copy of the page,
-which says nothing about the template, so the next nearest is used.
+page's heading.  A copy of the page says nothing about the template, so the next nearest
+is used: a neighbour is a copy when nothing is left unshared on either side, when what is
+left is one text with edits, or when the sentences are the same.
 
 Defined cases: null or empty html gives "" ; a null URL is a host of its own with no
 neighbours but its like; equal pages keep their text; repeated rows are extracted each;
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html as H
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 REACH = 3  # neighbours looked at on either side
+EDITED = 8  # words from which two rests can be one text with edits
 # HTML element names by role.
 SKIP = frozenset("script style noscript template head title nav header footer aside form button select option textarea input iframe object embed svg canvas audio video menu dialog map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,23 +176,52 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def compare(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]]) -> set[int] | None:
+    """Positions of own that other shares, or None where other is a copy and so says nothing about the template.
+
+    How much is shared does not make a copy, as a template may outweigh the text: what
+    counts is the rest on both sides and, as sentences of a marked article are text, those.
+    """
+    texts = [x[0] for x in own]
+    same = shared(texts, [x[0] for x in other])
+    rest = [x for i, x in enumerate(own) if i not in same]
+    held = Counter(texts[i] for i in same)
+    marked = bool(own) and own[0][1] and all(x[1] for x in own)
+    rest2 = []
+    for x in other:
+        if held[x[0]]:
+            held[x[0]] -= 1
+        elif x[1] or not marked or not any(y[1] for y in other):
+            rest2.append(x)
+    if not rest and not rest2:
+        return None
+    said = lambda rows: sum(len(x[0]) for x in rows if SENTENCE.search(x[0]))
+    both = said(own[i] for i in same)
+    if marked and both * 2 > said(own):
+        return None
+    if (not rest or not rest2 or not (said(rest) or said(rest2))) and both * 2 > sum(map(len, texts)):
+        return None  # the same sentences; a line was added, or a date or counter differs
+    a, b = (Counter(" ".join(x[0] for x in r).split()) for r in (rest, rest2))
+    if min(a.total(), b.total()) >= EDITED and (a & b).total() * 4 >= max(a.total(), b.total()) * 3:
+        return None  # the rest is one text with edits
+    return same
+
+
+def article(own: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
+    """In a page with a marked article, what is outside is not the article."""
+    return [x for x in own if x[1]] if any(x[1] for x in own) else own
+
+
+def without(own: list[tuple[str, bool, bool]], same: set[int]) -> str:
+    """The text of a page without its template lines."""
+    drop = {i for i in same if not own[i][1] or not (own[i][2] or SENTENCE.search(own[i][0]))}
+    return " ".join(x[0] for i, x in enumerate(own) if i not in drop)
+
+
 def extract(own: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> str:
     """The main text of a page, given the lines of its nearest neighbours, nearest first."""
-    if any(x[1] for x in own):
-        own = [x for x in own if x[1]]  # a marked article: what is outside is not the article
-    drop: set[int] = set()
-    texts = [x[0] for x in own]
-    for other in near:
-        same = shared(texts, [x[0] for x in other])
-        chars = sum(len(t) for t in texts)
-        if sum(len(texts[i]) for i in same) * 2 > chars:
-            continue  # a copy of this page
-        for i in same:
-            text, inside, heading = own[i]
-            if not inside or not (heading or SENTENCE.search(text)):
-                drop.add(i)
-        break
-    return " ".join(t for i, t in enumerate(texts) if i not in drop)
+    own = article(own)
+    return without(own, next((same for other in near if (same := compare(own, other)) is not None), set()))
 
 
 def order_key(url: F.Column) -> F.Column:

@@ -172,6 +172,20 @@ def test_differencing_drops_shared_lines_and_keeps_copies(spark):
     assert got[3].startswith("Acme") and "A copied story." in got[4] and got[6] == ""
 
 
+def test_template_that_outweighs_the_text_goes():
+    page = lambda *body: pages.lines("".join(f"<div>{x}</div>" for x in ("Home | News | Sport | Weather | Travel", *body, "All rights reserved by Acme Media Ltd.", "Imprint | Terms of use | Privacy | Jobs")))
+    assert pages.extract(page("A short story."), [page("Other tidings.")]) == "A short story."
+    assert pages.extract(page("Story number 1"), [page("Story number 2")]) == "Story number 1"
+    long = "A river ran through the long valley and turned north at the old mill."
+    whole = " ".join(x[0] for x in page(long))
+    for copy in (page(long), page(long.replace("old", "new"))):
+        assert pages.extract(page(long), [copy]) == whole  # copies say nothing
+        assert pages.extract(page(long), [copy, page("Other tidings.")]) == long
+    prose = [long, long.replace("river", "road") + " It did.", long.upper() + "!"]
+    dated = [page(f"Posted {d} May", *prose) for d in (3, 4)]
+    assert prose[1] in pages.extract(dated[0], dated[1:]) and prose[1] in pages.extract(dated[0], [page("Posted 3 May", *prose, "More.")])
+
+
 def test_lcs_matches_dynamic_programming():
     rng = random.Random(2)
     for _ in range(50):
