@@ -20,8 +20,12 @@ very long pages are processed whole; extra columns are ignored.
 from __future__ import annotations
 
 import html as H
+import itertools
+import pickle
 import re
+import tempfile
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-REACH = 3  # neighbours looked at on either side
+REACH = 3  # neighbours looked at on either side before the carried one
 EDITED = 8  # words from which two rests can be one text with edits
 # HTML element names by role.
 SKIP = frozenset("script style noscript template head title nav header footer aside form button select option textarea input iframe object embed svg canvas audio video menu dialog map".split())
@@ -224,6 +228,90 @@ def extract(own: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool,
     return without(own, next((same for other in near if (same := compare(own, other)) is not None), set()))
 
 
+@dataclass
+class _Page:
+    id: int | None
+    url: str | None
+    guest: int  # 1 for a page of an adjoining range, which is no row of this one
+    lines: list  # of the whole page
+    own: list  # of its article
+    before: list | None = None  # lines of the nearest earlier page that is no copy
+    same: set[int] | None = None  # what the page just before shares
+
+
+class _Waiting:
+    """Pages that have met only copies; on disk over 32 MB, as a host may be one long run of copies."""
+
+    def __init__(self):
+        self.file, self.n, self.last = tempfile.SpooledTemporaryFile(32 << 20), 0, None
+
+    def add(self, page: _Page):
+        pickle.dump(page, self.file)
+        self.n, self.last = self.n + 1, page
+
+    def take(self):
+        self.file.seek(0)
+        for _ in range(self.n):
+            yield pickle.load(self.file)
+        self.file.close()
+
+
+def differenced(rows, reach: int = REACH):
+    """(page_id, url, text) of rows (page_id, url, lines, guest) of one host in the order of their paths.
+
+    A page whose ``reach`` neighbours on either side are copies uses the nearest earlier
+    page that is none, carried along the order; without one it waits for the next unlike page.
+    """
+    window: list[_Page] = []  # done pages, the current, pages ahead
+    at = 0
+    waiting = _Waiting()
+
+    def finish():
+        page = window[at]
+        same = None
+        for d in range(1, reach + 1):
+            for j in (at - d, at + d):
+                if same is None and 0 <= j < len(window):
+                    same = page.same if j == at - 1 else compare(page.own, window[j].lines)
+        if same is None and page.before:
+            same = compare(page.own, page.before)
+        page.before = page.before if at + 1 == len(window) else None  # only the newest page hands it on
+        if page.guest:
+            return
+        if same is None:
+            page.before = None
+            waiting.add(page)
+        else:
+            yield page.id, page.url, without(page.own, same)
+
+    for pid, url, own, guest in rows:
+        page = _Page(pid, url, guest, own, article(own))
+        if window:
+            last = window[-1]
+            page.same = compare(page.own, last.lines)
+            page.before = last.before if page.same is None else last.lines
+        window.append(page)
+        if waiting.n and compare(waiting.last.own, page.lines) is not None:
+            held, waiting = waiting, _Waiting()
+            for x in held.take():
+                same = compare(x.own, page.lines)
+                if same is None:
+                    waiting.add(x)
+                else:
+                    yield x.id, x.url, without(x.own, same)
+        if len(window) - at > reach:
+            yield from finish()
+            at += 1
+        if at > reach:
+            window.pop(0)
+            at -= 1
+    while at < len(window):
+        yield from finish()
+        at += 1
+    for x in waiting.take():
+        yield x.id, x.url, without(x.own, set())
+
+
 def order_key(url: F.Column) -> F.Column:
     """host, a separator and the path: pages of a host are together, ordered by path."""
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -231,12 +319,18 @@ def order_key(url: F.Column) -> F.Column:
     return F.concat(host, F.lit("\u0001"), F.regexp_extract(bare, r"^[^/?#]*(.*)$", 1))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
+
+
 def extract_pages(pages: DataFrame, reach: int = REACH) -> DataFrame:
     """page_id, url, text of every page.
 
     Pages are range-partitioned by (host, path), so a host with a third of all pages
     spreads over many tasks; ranges hold 64 pages or more on average.  Neighbours are the
-    ``reach`` pages on either side within a range; the first and last pages of a range have
+    ``reach`` pages on either side within a range and, where these are copies, the nearest
+    page that is none; the first and last pages of a range have
     neighbours on one side only.
     """
     n = max(1, min(C.parts(pages.sparkSession, 12), pages.count() // 64))
@@ -244,36 +338,21 @@ def extract_pages(pages: DataFrame, reach: int = REACH) -> DataFrame:
     p = p.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches):
-        window: list = []  # (page_id, url, host, lines): done pages, current, pages ahead
-        at = 0
-        out: list[list] = [[], [], []]
-
-        def finish(i):
-            pid, url, host, own = window[i]
-            near = [window[j][3] for d in range(1, reach + 1) for j in (i - d, i + d) if 0 <= j < len(window) and window[j][2] == host]
-            for c, v in zip(out, (pid, url, extract(own, near)), strict=True):
-                c.append(v)
-
-        def flush():
-            b = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["page_id", "url", "text"])
-            for c in out:
-                c.clear()
-            return b
-
-        for b in C.chunks(batches, "html"):
-            for pid, url, page, key in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                window.append((pid, url, key.split("\u0001", 1)[0], lines(page)))
-                if len(window) - at > reach:
-                    finish(at)
-                    at += 1
-                if at > reach:
-                    window.pop(0)
-                    at -= 1
-            yield flush()
-        while at < len(window):
-            finish(at)
-            at += 1
-        yield flush()
+        def rows():
+            for b in C.chunks(batches, "html"):
+                for pid, url, page, key in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    yield key.split("\u0001", 1)[0], (pid, url, lines(page), 0)
+
+        out: list[tuple] = []
+        size = 0
+        for _, group in itertools.groupby(rows(), lambda r: r[0]):
+            for row in differenced((r[1] for r in group), reach):
+                out.append(row)
+                size += len(row[2])
+                if size > 1 << 20:
+                    yield _batch(out)
+                    out, size = [], 0
+        yield _batch(out)
 
     return p.mapInArrow(run, "page_id long, url string, text string")
 

@@ -186,6 +186,19 @@ def test_template_that_outweighs_the_text_goes():
     assert prose[1] in pages.extract(dated[0], dated[1:]) and prose[1] in pages.extract(dated[0], [page("Posted 3 May", *prose, "More.")])
 
 
+@pytest.mark.parametrize("unlike", ["first", "last", "middle", "none"])
+def test_runs_of_copies_meet_an_unlike_page(spark, unlike):
+    page = lambda body: f"<div><p>Acme news portal</p><p>{body}</p><p>All rights reserved</p></div>"
+    n, at = 21, {"first": 0, "last": 20, "middle": 10, "none": -1}[unlike]
+    rows = [(k, f"http://h.x/{k:03}", page("Other tidings." if k == at else "A copied story.")) for k in range(n)]
+    rows += [(k + 100, f"http://i.x/{k:03}", page("A copied story.")) for k in range(9)]  # another host lends no page
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(d).collect()}
+    whole = "Acme news portal A copied story. All rights reserved"
+    assert len(got) == len(rows) and all(got[k + 100] == whole for k in range(9))
+    assert all(got[k] == ("Other tidings." if k == at else whole if at < 0 else "A copied story.") for k in range(n))
+
+
 def test_lcs_matches_dynamic_programming():
     rng = random.Random(2)
     for _ in range(50):
