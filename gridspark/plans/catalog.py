@@ -326,13 +326,13 @@ query("s31_graticule", f"SELECT * FROM (SELECT (a)::INT AS ring, b::INT AS k, {s
 
 
 def _spectral(spark, d):
-    """Synthesis of a triangle of coefficients from the embeddings' mean components, checked by row means."""
+    """Synthesis of the triangle that holds all 64 mean components of the embeddings (the last two coefficients are 0)."""
     e = fe(spark, d).groupBy("i").agg(F.avg("value").alias("v"))
-    c = e.where("i < 21").select(F.expr("cast(floor((sqrt(8 * i + 1) - 1) / 2) as int)").alias("n"), F.col("i"), F.col("v"))
+    c = e.select(F.expr("cast(floor((sqrt(8 * i + 1) - 1) / 2) as int)").alias("n"), F.col("i"), F.col("v"))
     c = c.select((F.col("i") - F.expr("n * (n + 1) div 2")).cast("int").alias("m"), "n", F.col("v").alias("re"), F.lit(0.0).alias("im"))
-    ni, nj = R.spectral_grid(5)
+    ni, nj = R.spectral_grid(10)
     lats, lons = [90 - 180 * k / (nj - 1) for k in range(nj)], [360 * k / ni for k in range(ni)]
-    return R.synthesize(c, 5, lats, lons).select("j", "i", r6(F.col("value")).alias("value"))
+    return R.synthesize(c, 10, lats, lons).select("j", "i", r6(F.col("value")).alias("value"))
 
 
 query("r15_spectral_synthesis")(_spectral)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.plans import catalog, catalog_files  # noqa: F401
 
@@ -31,6 +32,16 @@ def test_query_without_sql_has_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
+def test_spectral_synthesis_uses_all_components(spark, sf):
+    """At the pole only m = 0 counts, up to component 55 (n = 10); elsewhere waves go up to m = 9."""
+    mean = {r.i: r.v for r in catalog.fe(spark, sf).groupBy("i").agg(F.avg("value").alias("v")).collect()}
+    out = catalog.QUERIES["r15_spectral_synthesis"](spark, sf).toPandas().pivot(index="j", columns="i", values="value").to_numpy()
+    assert len(mean) == 64
+    assert np.allclose(out[0], sum(mean[n * (n + 1) // 2] * (2 * n + 1) ** 0.5 for n in range(11)), atol=1e-5)
+    waves = np.abs(np.fft.rfft(out, axis=1)).max(0)
+    assert waves[9] > 1e-3 and np.allclose(waves[10:], 0, atol=1e-4)  # component 54 is m = n = 9
+
+
 def test_entry_imports_and_registers():
     import __spark_entry__ as e
 
