@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as H
 import itertools
+import math
 import pickle
 import re
 import tempfile
@@ -324,24 +325,76 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
 
 
-def extract_pages(pages: DataFrame, reach: int = REACH) -> DataFrame:
+def _below(edges: list[str], key: F.Column) -> F.Column:
+    """How many of the sorted edges are at or below the key: a search in two steps."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(edges)))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    under = lambda a: F.size(F.filter(a, lambda e: e <= key))
+    g = F.greatest(under(F.array(*[F.lit(x[0]) for x in groups])), F.lit(1)) - 1
+    return (g * step + under(F.get(F.array(*[F.array(*[F.lit(e) for e in x]) for x in groups]), g))).cast("int")
+
+
+def _guests(found: dict[int, dict], reach: int) -> dict[str, list[int]]:
+    """Key of a page -> ranges it visits; found: for each range its first and last pages and its nearest unlike ones.
+
+    A range gets the ``reach`` nearest pages on either side and the nearest page that does
+    not repeat the nearest, though whole ranges of one repeated page lie between.
+    """
+    out: dict[str, set[int]] = {}
+    for way, near, unlike in ((1, "lasts", "unlike_last"), (-1, "firsts", "unlike_first")):
+        held: list[tuple] = []  # (key, host, hash), nearest first
+        far: tuple | None = None
+        for p in sorted(found)[::way]:
+            for x in [*held, *([far] if far else [])]:
+                out.setdefault(x[0], set()).add(p)
+            own = [tuple(x) for x in found[p][near]]
+            mine = found[p][unlike]
+            if mine is not None:
+                far = tuple(mine)
+            elif not (held and held[0][1] == own[0][1]):
+                far = None  # another host
+            elif held[0][2] != own[0][2]:
+                far = held[0]
+            held = [*own, *held][:reach]
+    return {x: sorted(t) for x, t in out.items()}
+
+
+def extract_pages(pages: DataFrame, reach: int = REACH, least: int = 64) -> DataFrame:
     """page_id, url, text of every page.
 
-    Pages are range-partitioned by (host, path), so a host with a third of all pages
-    spreads over many tasks; ranges hold 64 pages or more on average.  Neighbours are the
-    ``reach`` pages on either side within a range and, where these are copies, the nearest
-    page that is none; the first and last pages of a range have
-    neighbours on one side only.
+    Pages are dealt by ranges of (host, path), so a host with a third of all pages spreads
+    over many tasks; ranges hold ``least`` pages or more on average.  Neighbours are the
+    ``reach`` pages on either side and, where these are copies, the nearest page that is
+    none.  Each range also gets the nearest pages of the adjoining ones as guests.
     """
-    n = max(1, min(C.parts(pages.sparkSession, 12), pages.count() // 64))
+    n = max(1, min(C.parts(pages.sparkSession, 12), pages.count() // least))
     p = C.columns_of(pages, "page_id", "url", "html").withColumn("key", F.coalesce(order_key(F.col("url")), F.lit("")))
-    p = p.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    p = p.withColumn("at", F.concat("key", F.lit("\u0001"), F.coalesce(F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lit(""))))
+    sample = sorted(r.at for r in p.select("at").orderBy(F.xxhash64("at")).limit(20 * n).collect()) if n > 1 else []
+    edges = sorted({sample[len(sample) * k // n] for k in range(1, n)} if sample else set())  # fewer than n keys
+    p = p.withColumn("p", _below(edges, F.col("at")))
+    if edges:
+        host = F.substring_index("at", "\u0001", 1)
+        one = F.array_sort(F.collect_list(F.struct("at", host.alias("host"), F.xxhash64("html").alias("h"))))
+        unlike = lambda ref: F.filter("x", lambda y: (y["host"] == ref["host"]) & (y["h"] != ref["h"]))
+        first, last = F.get("x", F.lit(0)), F.element_at("x", -1)
+        x = p.groupBy("p").agg(one.alias("x")).select("p", F.slice("x", 1, reach).alias("firsts"), F.slice(F.reverse("x"), 1, reach).alias("lasts"), F.get(unlike(first), F.lit(0)).alias("unlike_first"), F.try_element_at(unlike(last), F.lit(-1)).alias("unlike_last"))
+        visits = _guests({r.p: r.asDict() for r in x.collect()}, reach)  # a few keys a range
+        g = p.sparkSession.createDataFrame(list(visits.items()) or [("", [])], "at string, to array<int>")
+        p = p.join(F.broadcast(g), "at", "left")
+    else:
+        p = p.withColumn("to", F.lit(None).cast("array<int>"))
+    goes = F.concat(F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("guest"))), F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda t: F.struct(t.alias("p"), F.lit(1).alias("guest"))))
+    p = p.select("page_id", "url", "html", "key", "at", F.explode(goes).alias("q")).select("page_id", "url", "html", "key", "q.guest", "q.p", "at")
+    p = p.repartition(len(edges) + 1, "p").sortWithinPartitions("p", "at")
 
     def run(batches):
         def rows():
             for b in C.chunks(batches, "html"):
-                for pid, url, page, key in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    yield key.split("\u0001", 1)[0], (pid, url, lines(page), 0)
+                for pid, url, page, key, guest, part in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    yield (part, key.split("\u0001", 1)[0]), (pid, url, lines(page), guest)
 
         out: list[tuple] = []
         size = 0

@@ -199,6 +199,17 @@ def test_runs_of_copies_meet_an_unlike_page(spark, unlike):
     assert all(got[k] == ("Other tidings." if k == at else whole if at < 0 else "A copied story.") for k in range(n))
 
 
+@pytest.mark.parametrize("least", [2, 7, 1000])
+def test_ranges_do_not_change_the_text(spark, least):
+    page = lambda body: f"<div><p>Acme news portal</p><p>{body}</p><p>All rights reserved</p></div>"
+    bodies = [f"Tidings {k} of the {w}." for k, w in enumerate(WORDS[:12])] + ["A copied story."] * 30 + ["The end."]
+    rows = [(k, f"http://h.x/{k:03}", page(b)) for k, b in enumerate(bodies)] + [(100 + k, f"http://{h}.x/1", page("Alone.")) for k, h in enumerate("abcxyz")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in pages.extract_pages(d, least=least).collect()]
+    assert sorted(got) == [*enumerate(bodies), *((100 + k, "Acme news portal Alone. All rights reserved") for k in range(6))]
+    assert pages.extract_pages(d.limit(0), least=least).count() == 0
+
+
 def test_lcs_matches_dynamic_programming():
     rng = random.Random(2)
     for _ in range(50):
