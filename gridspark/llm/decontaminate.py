@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max bounds.
 
 The index holds the benchmark (checked to be under ``MAX_INDEX`` bytes, else it is split
-and the documents are searched once per part).  Items are cut into entries of at most
+and the documents are searched once per part, with the weights of one index).  Its lists are
+sparse: at most some 40 bytes a word of text.  Items are cut into entries of at most
 ``ENTRY`` words; an entry's impacts are its BM25 term weights over its score against itself,
 so one threshold serves all.  Each training text is cut into passages of 2 * ENTRY words
 that overlap by ENTRY, so an entry that stands in a text stands whole in a passage.  Each
@@ -24,7 +25,7 @@ kept; extra columns are ignored by ``leaks`` and kept by ``drop_leaks``.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,40 @@ def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return C.mix(out)
 
 
+@dataclass
+class Lists:
+    """Inverted lists: key[start[t] : start[t + 1]] and value of term t, keys rising."""
+
+    start: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.start[terms], self.start[terms + 1]
+        at = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
+        return self.key[at], self.value[at]
+
+
+@dataclass
+class Impacts(Lists):
+    blocks: int
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        """[blocks, terms] of the dense (block, term, entry of the block) form."""
+        out = np.zeros((len(at[1]), self.blocks * BLOCK), np.float32)
+        for k, t in enumerate(at[1]):
+            own = slice(self.start[t], self.start[t + 1])
+            out[k, self.key[own]] = self.value[own]
+        return out.reshape(len(at[1]), self.blocks, BLOCK).swapaxes(0, 1)[at[0]]
+
+
 @dataclass
 class Index:
     items: np.ndarray  # item_id of each entry
     vocab: np.ndarray  # sorted word hashes
     top: np.ndarray  # largest impact of each term; a last 0 for unknown words
-    block_top: np.ndarray  # (term, block)
-    impact: np.ndarray  # (block, term, entry of the block)
+    block_top: Lists  # term -> blocks
+    impact: Impacts  # term -> entries
     parts: dict  # item_id -> list of (question shingles, their k, answer shingles, their k)
 
 
@@ -77,8 +105,33 @@ def split_answer(text: str) -> tuple[str, str]:
     return (t[: cuts[-1]], t[cuts[-1] :]) if cuts else (t, t)
 
 
-def build(rows: list[tuple]) -> Index:
-    """rows: (item_id, question, answer, text)."""
+def entries(h: np.ndarray) -> list[np.ndarray]:
+    """A text's word hashes in entries of at most ENTRY words."""
+    n = -(-len(h) // ENTRY)
+    return [h[len(h) * i // n : len(h) * (i + 1) // n] for i in range(n)]
+
+
+@dataclass
+class Counts:
+    """What BM25 weights need of all entries, whichever part holds them."""
+
+    n: int = 0
+    words: int = 0
+    vocab: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def add(self, rows: list[tuple]) -> Counts:
+        own = [e for r in rows for e in entries(hashes(pa.array([r[3]], pa.string()))[0])]
+        self.n, self.words = self.n + len(own), self.words + sum(map(len, own))
+        v, c = np.unique(np.concatenate([np.unique(e) for e in own]), return_counts=True) if own else (self.vocab[:0], self.df[:0])
+        both, at = np.unique(np.concatenate([self.vocab, v]), return_inverse=True)
+        self.vocab, self.df = both, np.bincount(at, np.concatenate([self.df, c]), len(both)).astype(np.int64)
+        return self
+
+
+def build(rows: list[tuple], counts: Counts | None = None) -> Index:
+    """rows: (item_id, question, answer, text); counts are of all items where rows are a part."""
+    counts = counts or Counts().add(rows)
     words, items, parts = [], [], {}
     for item, q, a, text in rows:
         h, _ = hashes(pa.array([text], pa.string()))
@@ -91,23 +144,30 @@ def build(rows: list[tuple]) -> Index:
             k = min(SHINGLE, len(x))
             sides += [np.unique(shingles(x, k)), k]
         parts.setdefault(item, []).append(tuple(sides))
-        n = -(-len(h) // ENTRY)
-        for i in range(n):
-            words.append(h[len(h) * i // n : len(h) * (i + 1) // n])
+        for e in entries(h):
+            words.append(e)
             items.append(item)
     vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
     n, t = len(words), len(vocab)
-    blocks = max(1, -(-n // BLOCK))
-    impact = np.zeros((blocks, t + 1, BLOCK), np.float32)
-    counts = [np.unique(np.searchsorted(vocab, w), return_counts=True) for w in words]
-    df = np.bincount(np.concatenate([c[0] for c in counts]), minlength=t) if words else np.zeros(0)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(w) for w in words]) if words else 1.0
-    for e, (terms, tf) in enumerate(counts):
-        w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words[e]) / mean))
-        impact[e // BLOCK, terms, e % BLOCK] = w / w.sum()
-    block_top = impact.max(2).T.copy() if n else np.zeros((t + 1, blocks), np.float32)
-    return Index(np.array(items, np.int64), vocab, block_top.max(1), block_top, impact, parts)
+    df = counts.df[np.searchsorted(counts.vocab, vocab)]
+    idf = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
+    mean = counts.words / counts.n if counts.n else 1.0
+    terms, weights = [], []
+    for own in words:
+        v, tf = np.unique(np.searchsorted(vocab, own), return_counts=True)
+        w = idf[v] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
+        terms.append(v)
+        weights.append((w / w.sum()).astype(np.float32))
+    entry = np.repeat(np.arange(n), [len(v) for v in terms])
+    term, weight = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((terms, np.int64), (weights, np.float32)))
+    order = np.lexsort((entry, term))
+    term, entry, weight = term[order], entry[order].astype(np.int32), weight[order]
+    start = lambda x: np.searchsorted(x, np.arange(t + 2))
+    new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (entry[1:] // BLOCK != entry[:-1] // BLOCK)][: len(term)])
+    block_top = Lists(start(term[new]), entry[new] // BLOCK, np.maximum.reduceat(weight, new) if n else weight)
+    top = np.zeros(t + 1, np.float32)
+    np.maximum.at(top, term, weight)
+    return Index(np.array(items, np.int64), vocab, top, block_top, Impacts(start(term), entry, weight, max(1, -(-n // BLOCK))), parts)
 
 
 def search(ix: Index, terms: np.ndarray, threshold: float = THRESHOLD) -> dict[int, float]:
@@ -128,12 +188,16 @@ def search(ix: Index, terms: np.ndarray, threshold: float = THRESHOLD) -> dict[i
     found: dict[int, float] = {}
     for p in q:
         p = p[p < t]
-        live = np.flatnonzero(ix.block_top[p].sum(0) >= threshold)
-        for b in live.tolist():
-            s = ix.impact[b][p].sum(0)
-            for e in np.flatnonzero(s >= threshold - 1e-6).tolist():
-                item = int(ix.items[b * BLOCK + e])
-                found[item] = max(found.get(item, 0.0), float(s[e]))
+        block, most = ix.block_top.of(p)
+        live = np.bincount(block, most, ix.impact.blocks) >= threshold - 1e-6
+        if not live.any():
+            continue
+        entry, weight = ix.impact.of(p)
+        hit = live[entry // BLOCK]
+        s = np.bincount(entry[hit], weight[hit], len(ix.items))
+        for e in np.flatnonzero(s >= threshold - 1e-6).tolist():
+            item = int(ix.items[e])
+            found[item] = max(found.get(item, 0.0), float(s[e]))
     return found
 
 
@@ -175,15 +239,17 @@ def indexes(bench: DataFrame, max_bytes: int = MAX_INDEX) -> list[Index]:
     b = bench.select("item_id", q.alias("q"), a.alias("a"), "text").where("item_id is not null and text is not null")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // max_bytes))
-    out = []
-    for i in range(n):  # one part unless the benchmark is larger than the bound
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else b
-        rows = []
-        for r in sorted(part.collect(), key=lambda r: (r.item_id, r.text)):
-            s = (r.q, r.a) if r.q and r.a else split_answer(r.text)
-            rows.append((r.item_id, *s, r.text))
-        out.append(build(rows))
-    return out
+
+    def rows(i):  # one part unless the benchmark is larger than the bound; an item's rows stay together
+        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else b
+        return [(r.item_id, *((r.q, r.a) if r.q and r.a else split_answer(r.text)), r.text) for r in sorted(part.collect(), key=lambda r: (r.item_id, r.text))]
+
+    if n == 1:
+        return [build(rows(0))]
+    counts = Counts()
+    for i in range(n):
+        counts.add(rows(i))
+    return [build(rows(i), counts) for i in range(n)]
 
 
 OUT = "doc_id long, contaminated boolean, item_ids array<long>, n_retrieved int, best_score double, question_overlap double, answer_overlap double"

@@ -384,6 +384,26 @@ def test_leaks_found_clean_left_alone(spark, monkeypatch, bound):
     assert decontaminate.leaks(d.limit(0), b).count() == 0
 
 
+def test_parts_score_as_one_index(spark, monkeypatch):
+    rng = random.Random(9)
+    items = bench_rows(rng, 40)
+    docs = frame(spark, [(i, prose(rng, 20) + " " + " ".join(t.split()[: rng.randint(3, 60)]) + " " + prose(rng, 20)) for i, t in items])
+    b = spark.createDataFrame([*items, (3, items[7][1])], "item_id long, text string")
+    out = []
+    for bound in (1 << 24, 700):
+        monkeypatch.setattr(decontaminate.indexes, "__defaults__", (bound,))
+        out.append({r.doc_id: (r.contaminated, r.item_ids, r.n_retrieved, round(r.best_score, 5)) for r in decontaminate.leaks(docs, b).collect()})
+    assert out[0] == out[1] and sum(v[2] for v in out[0].values()) > 10
+
+
+def test_index_grows_with_its_words():
+    rng = random.Random(4)
+    words = lambda k: " ".join(f"x{rng.randrange(20_000)}" for _ in range(k))
+    ix = decontaminate.build([(i, "", "", words(60)) for i in range(3000)])
+    held = [ix.vocab, ix.top, *(getattr(x, k) for x in (ix.impact, ix.block_top) for k in ("start", "key", "value"))]
+    assert sum(a.nbytes for a in held) < 40 * 60 * 3000
+
+
 # ---- 8, 10 -------------------------------------------------------------------------------
 
 
