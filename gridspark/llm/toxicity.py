@@ -3,8 +3,9 @@
 Features are the presence of hashed character n-grams of the lower-cased text.  Each
 is scaled by its log-count ratio r = log((p + a) / (q + b)) between toxic and other
 labelled documents; a logistic regression is fitted on the scaled features.  Fitting
-uses a bounded sample of labelled rows (``max_rows``, ``max_bytes`` of whole texts,
-dealt by a hash of doc_id); scoring covers every whole text in Arrow batches.
+runs in one executor task on a bounded sample of labelled rows (``max_rows``,
+``max_bytes`` of whole texts, dealt by a hash of doc_id; toxic rows come first, up to half of
+a bound that others fill too); scoring covers every whole text in Arrow batches.
 
 Defined cases: null and empty texts have no features, so their score is the
 intercept's; labels that are null are left out and of several labels of a document the
@@ -26,8 +27,8 @@ from . import common as C
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
-MAX_FEATURES = 1 << 12
-MAX_ROWS, MAX_BYTES = 6000, 16 << 20
+MAX_FEATURES = 1 << 15
+MAX_ROWS, MAX_BYTES = 6000, 24 << 20
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -92,22 +93,20 @@ def fit(texts: list[str], labels: list[int], ngrams=NGRAMS, bits: int = BITS, mo
     chosen = np.argsort(-strength, kind="stable")[:most]
     chosen = np.sort(chosen[strength[chosen] > 0])
     model.slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    rows, feats, at = [], [], 0
+    scale = ratio[chosen]
+    pairs, at = [], 0
     for part in parts:
         r, f = _present(part.column(0), model.slot, bits, ngrams)
-        rows.append((r + at).astype(np.int32))
-        feats.append(f.astype(np.int32))
+        pairs.append((slice(at, at + part.num_rows), r.astype(np.int32), f.astype(np.int32)))
         at += part.num_rows
-    rows, feats = np.concatenate(rows), np.concatenate(feats)
-    scale = ratio[chosen]
-    x = scale[feats]
     w, b0 = np.zeros(len(chosen)), float(np.log((pos + 0.5) / (neg + 0.5)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     balance = np.where(y == 1, len(y) / (2 * pos), len(y) / max(1, 2 * neg))
     for t in range(1, rounds + 1):  # Adam on the full bounded sample
-        z = np.bincount(rows, x * w[feats], len(y)) + b0
+        v0 = scale * w
+        z = np.concatenate([np.bincount(r, v0[f], own.stop - own.start) for own, r, f in pairs]) + b0
         err = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g, gb = np.bincount(feats, x * err[rows], len(w)) + 1e-5 * w, err.sum()
+        g, gb = scale * sum(np.bincount(f, err[own][r], len(w)) for own, r, f in pairs) + 1e-5 * w, err.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.01 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -133,17 +132,42 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
     """Fit on a bounded sample of the rows whose fold is not held out."""
     ok = C.columns_of(labels, "doc_id", "toxic").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
     ok = ok.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    n = ok.count()
-    share = int((1 << 20) * min(1.0, max_rows / max(1, n)))
-    some = ok.where(F.col("u") < share).orderBy("u", "doc_id").limit(max_rows)  # the documented bound
+    bad = F.col("toxic") > 0
+    some = ok
+    if (keep := _shares(ok, F.lit(1), max_rows)) is not None:
+        some = ok.where(F.col("u") < F.when(bad, keep[0]).otherwise(keep[1])).orderBy(bad.desc(), "u", "doc_id").limit(max_rows)  # the documented bound
     texts = C.columns_of(docs, "doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    texts = texts.dropDuplicates(["doc_id"])
-    size = C.cut(texts.withColumn("b", F.octet_length("text")), "labelled")
-    total = size.agg(F.sum("b")).first()[0] or 0
-    if total > max_bytes:
-        size = size.where(F.col("u") < int(share * max_bytes / total))
-    rows = size.select("text", "toxic").orderBy("u", "doc_id").collect()  # at most about max_bytes of text
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows])
+    size = C.cut(texts.dropDuplicates(["doc_id"]).withColumn("b", F.octet_length("text")), "labelled")
+    if (least := _shares(size, F.col("b"), max_bytes)) is not None:
+        top = {r.bad: r.u for r in size.groupBy(bad.alias("bad")).agg(F.max("u").alias("u")).collect()}
+        at = [int(x / (1 << 20) * (top.get(k, 0) + 1)) for k, x in ((True, least[0]), (False, least[1]))]
+        size = size.where(F.col("u") < F.when(bad, at[0]).otherwise(at[1]))
+
+    def run(batches):
+        texts, labels = [], []
+        for part in batches:
+            texts += part.column(0).to_pylist()
+            labels += part.column(1).to_pylist()
+        m = fit(texts, [int(x) for x in labels])
+        yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(m.slot >= 0).astype(np.int32).tobytes()]), pa.array([m.weight.tobytes()]), pa.array([float(m.bias)])], ["chosen", "weight", "bias"])
+
+    one = size.select("text", "toxic", "u", "doc_id").coalesce(1).sortWithinPartitions("u", "doc_id").select("text", "toxic")
+    model = Model()
+    for r in one.mapInArrow(run, "chosen binary, weight binary, bias double").collect():  # one row: at most MAX_FEATURES numbers
+        chosen = np.frombuffer(r.chosen, np.int32)
+        model.slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+        model.weight, model.bias = np.frombuffer(r.weight, np.float32), r.bias
+    return model
+
+
+def _shares(rows: DataFrame, size, bound: int) -> tuple[int, int] | None:
+    """Shares, in 2^20ths, of toxic and other rows that keep a sum under the bound; None where all fit."""
+    total = {r.bad: r.n or 0 for r in rows.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.sum(size).alias("n")).collect()}
+    one, other = total.get(True, 0), total.get(False, 0)
+    if one + other <= bound:
+        return None
+    room = min(one, max(bound / 2, bound - other))
+    return tuple(int((1 << 20) * min(1.0, part / max(1, n))) for part, n in ((room, one), (bound - room, other)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -438,6 +438,19 @@ def test_toxicity_odd_inputs(spark):
     assert p[0] > 0.5 > p[1]
 
 
+def test_toxicity_keeps_rare_toxic_rows(spark):
+    rng = random.Random(6)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    bad = set(ids[::100])
+    d = frame(spark, [(i, prose(rng, 30) + (" grobian" if i in bad else "")) for i in ids])
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    for bounds in ({"max_rows": 40}, {"max_bytes": 6000}):
+        model = toxicity.train(d, labels, **bounds)
+        p = toxicity.predict(model, pa.array(["grobian", prose(rng, 30)]))
+        assert p[0] > 0.5 > p[1]
+    assert toxicity.MAX_FEATURES == 1 << 15
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = queries.QUERIES["op10_language"](spark, d).toPandas()
