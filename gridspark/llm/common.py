@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -23,7 +24,18 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+ARROW_BYTES = 4 << 20  # of a batch on its way to Python and back
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's default bound on the bytes of an Arrow batch; a bound set by the user is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,26 +55,58 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; it goes when the driver's process ends (not when it is killed)."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go as soon as it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    small_batches(spark)
+    path = own_path(spark, label)
+    done = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(done)
+    spark.conf.set(done, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(done, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans nobody refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that df has not (names are compared without case)."""
+    held, name = {c.lower() for c in df.columns}, base
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n distinct ints that a shuffle on them deals evenly to its partitions.
+
+    A hash deals a few buckets unevenly; where there are many to a partition any ints do.
+    """
+    k = parts(spark)
+    if n > 8 * k:
+        return np.arange(n, dtype=np.int32)
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(k))
+    rank = F.row_number().over(W.partitionBy("p").orderBy("id"))
+    rows = spark.range(64 + 24 * n).select("id", at.alias("p")).select("id", "p", rank.alias("r"))
+    return np.array([r.id for r in rows.orderBy("r", "p").limit(n).collect()], np.int32)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of a scan (file bytes for Parquet)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
@@ -73,6 +117,12 @@ def columns_of(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def repeats(df: DataFrame, col: str) -> bool:
+    """Whether a value of the column stands in several rows (null aside)."""
+    own = columns_of(df, col).where(F.col(col).isNotNull())
+    return bool(own.groupBy(col).count().where("count > 1").limit(1).count())
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of about ``limit`` text bytes (at least one row)."""
     for batch in batches:
@@ -125,8 +175,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
+SEGMENT = 1 << 18  # bytes hashed at a time, so that tables of powers stay small
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of data[s:e] for each pair; equal bytes give equal hashes anywhere."""
+    if len(data) <= 2 * SEGMENT or not len(starts):
+        return _span_hash(data, starts, ends)
+    o = np.argsort(starts, kind="stable") if (starts[1:] < starts[:-1]).any() else slice(None)
+    s, e = starts[o], ends[o]
+    edge = np.searchsorted(s, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    h = np.empty(len(s), np.uint64)
+    for k, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        if j > i:
+            base = k * SEGMENT
+            h[i:j] = _span_hash(data[base : e[i:j].max()], s[i:j] - base, e[i:j] - base)
+    out = np.empty_like(h)
+    out[o] = h
+    return out
+
+
+def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     p, inv = powers(len(data) + 1)
     pre = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], out=pre[1:])
@@ -231,23 +300,20 @@ SMALL_GRAPH = 1 << 20  # edges: 16 MB in one task
 
 def _small_components(batches):
     got = [b for b in batches if b.num_rows]
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while root.setdefault(top, top) != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    for b in got:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            p, q = find(u), find(v)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    node = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([find(x) for x in node], pa.int64())], ["node", "component"])
+    if not got:
+        return
+    u, v = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in (0, 1))
+    node = np.unique(np.concatenate([u, v]))
+    u, v = np.searchsorted(node, u), np.searchsorted(node, v)
+    root = np.arange(len(node))
+    while True:  # hook the larger root of an edge under the smaller, then point every node at its root
+        p, q = root[u], root[v]
+        if (p == q).all():
+            break
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(node[root], pa.int64())], ["node", "component"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:

@@ -23,9 +23,13 @@ entry per block.  Where a trigger is met by more than ``HOT`` distinct entries,
 go to buckets by their own hash instead of meeting in one task.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; a
-null doc_id is kept whole and covers nothing; rows with one doc_id are one document (they
-never cover each other); texts shorter than ``DEPTH`` are kept; bytes left over at a cut
-character are dropped from ``kept_text`` only where they are no longer valid UTF-8.
+null doc_id is kept whole and covers nothing; rows with one doc_id are one document of
+several texts (matches cross neither, and they never cover each other); texts shorter than
+``DEPTH`` are kept; ``dedup_text`` drops bytes left over at a cut character, as they are no
+longer valid UTF-8; extra columns are ignored by ``removed`` and kept by ``dedup_text``.
+Entries and windows are compared by hashes: two different ones pass as equal only where
+all of at least 88 bits of independent hashes agree, odds under 1 in 10^9 for 10^8 entries
+of one trigger.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -68,6 +73,17 @@ def _rolling(data: np.ndarray, w: int) -> np.ndarray:
 
 def triggers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH, word: int = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position in data, word hash) of the triggers of a run of documents."""
+    parts = []
+    for a in range(0, max(len(data), 1), C.SEGMENT):  # long data in segments that see a window beyond their edges
+        lo, hi = max(0, a - depth), min(len(data), a + C.SEGMENT + depth)
+        row, at, h = _triggers(data[lo:hi], np.clip(off, lo, hi) - lo, depth, word)
+        at = at + lo
+        own = (at >= a) & (at < a + C.SEGMENT)
+        parts.append((row[own], at[own], h[own]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _triggers(data: np.ndarray, off: np.ndarray, depth: int, word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < depth:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
@@ -140,16 +156,28 @@ def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.n
     return o, np.cumsum(new) - 1, doc[o][new]
 
 
+def bucket_of(h: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return buckets[(h % np.uint64(len(buckets))).astype(np.int64)]
+
+
+def _present(b: np.ndarray):
+    """(bucket, rows in their order) of each bucket that has rows."""
+    if len(b):
+        o = np.argsort(b, kind="stable")
+        first = np.flatnonzero(np.r_[True, b[o][1:] != b[o][:-1]])
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(o)], strict=True):
+            yield int(b[o[i]]), o[i:j]
+
+
 def _rows(bucket, kind, data) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
 
 
 def _deal(groups: int, kind: int, doc: np.ndarray, *cols: tuple[np.ndarray, int]) -> list[tuple[int, int, bytes]]:
     """Blobs by group of documents."""
-    g = group_of(doc, groups)
-    o = np.lexsort((doc, g))
-    at = np.searchsorted(g[o], np.arange(groups + 1))
-    return [(k, kind, encode(doc[o[a:b]], *((c[o[a:b]], s) for c, s in cols))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    own = np.argsort(doc, kind="stable")
+    doc, cols = doc[own], [(c[own], s) for c, s in cols]
+    return [(k, kind, encode(doc[i], *((c[i], s) for c, s in cols))) for k, i in _present(group_of(doc, groups))]
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -159,20 +187,24 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def group_col(groups: int) -> F.Column:
-    d = F.col("doc_id")
+    d = F.col("doc_id").cast("long")
     x = d.bitwiseXOR(F.shiftrightunsigned(d, 15)).bitwiseXOR(F.shiftrightunsigned(d, 31))
     return F.pmod(x, F.lit(groups)).cast("int")
 
 
 ENTRY = (5, 6, 4)  # bytes of trigger hash (beyond its bucket), entry hash, position
 SPAN = (4, 4)  # start, length
+WHOLE = (4,)  # position
 ASK = (4, 1)  # position, whether its trigger is hot
 WINDOW = (8, 4)  # hash, start
 MASK = (4, 4)  # position, windows covered (bit L: the window that starts L bytes before the trigger)
 
 
-def entries(docs: DataFrame, buckets: int, depth: int = DEPTH, word: int = WORD) -> DataFrame:
-    """Blobs by bucket of the trigger hash: kind 0 dictionary entries, kind 1 spans covered within the block."""
+def entries(docs: DataFrame, buckets: np.ndarray, depth: int = DEPTH, word: int = WORD) -> DataFrame:
+    """Blobs by bucket of the trigger hash: kind 0 dictionary entries, kind 1 spans covered within the block.
+
+    docs: doc_id, text and the bytes that earlier rows of the doc_id hold; positions count from its first row.
+    """
 
     def emit(parts):
         doc, at, end, pos, h, e = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -180,17 +212,13 @@ def entries(docs: DataFrame, buckets: int, depth: int = DEPTH, word: int = WORD)
         covered = np.zeros(len(doc), bool)
         covered[o] = doc[o] > low[cls]
         keep = np.flatnonzero(~covered)
-        b = (h[keep] % np.uint64(buckets)).astype(np.int64)
-        s = np.lexsort((keep, b))
-        edge = np.searchsorted(b[s], np.arange(buckets + 1))
         out = []
-        for k in range(buckets):
-            i = keep[s[edge[k] : edge[k + 1]]]
-            if len(i):
-                out.append((k, 0, encode(doc[i], (h[i] >> np.uint64(24), 5), (e[i], 6), (pos[i], 4))))
+        for k, s in _present(bucket_of(h[keep], buckets)):
+            i = keep[s]
+            out.append((k, 0, encode(doc[i], (h[i] >> np.uint64(24), 5), (e[i], 6), (pos[i], 4))))
         i = np.flatnonzero(covered)
         if len(i):
-            out.append((int(h[i[0]] % np.uint64(buckets)), 1, encode(doc[i], (at[i], 4), (end[i] - at[i], 4))))
+            out.append((int(bucket_of(h[i[:1]], buckets)[0]), 1, encode(doc[i], (at[i], 4), (end[i] - at[i], 4))))
         return _rows(*zip(*out, strict=True)) if out else None
 
     def run(batches):
@@ -202,8 +230,8 @@ def entries(docs: DataFrame, buckets: int, depth: int = DEPTH, word: int = WORD)
             if len(row):
                 s, e = surroundings(data, off, row, at, depth, word)
                 shape = ((at - s) * 256 + (e - at)).astype(np.uint64)
-                doc = b.column(0).to_numpy()[row]
-                parts.append((doc, s - off[row], e - off[row], (at - off[row]).astype(np.uint64), h, C.mix(C.span_hash(data, s, e) + shape)))
+                doc, zero = b.column(0).to_numpy()[row], (off[:-1] - b.column(2).to_numpy())[row]
+                parts.append((doc, s - zero, e - zero, (at - zero).astype(np.uint64), h, C.mix(C.span_hash(data, s, e) + shape)))
             size += len(data)
             if size >= BLOCK and parts:
                 if (r := emit(parts)) is not None:
@@ -216,8 +244,7 @@ def entries(docs: DataFrame, buckets: int, depth: int = DEPTH, word: int = WORD)
 
 
 def settle(blobs: DataFrame, groups: int) -> DataFrame:
-    """Per bucket: blobs by group of documents, kind 0 requests for bytes, kind 1 covered spans."""
-    reach = DEPTH - WORD
+    """Per bucket: blobs by group of documents, kind 0 requests for bytes, kind 1 covered spans, kind 4 triggers with all they reach covered."""
 
     def run(t: pa.Table) -> pa.Table:
         kind, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
@@ -241,9 +268,7 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
             i = np.flatnonzero(ask)
             out += _deal(groups, 0, d[i], (p[i], 4), ((n[word[i]] > HOT).astype(np.uint64), 1))
             i = np.flatnonzero(covered)
-            # the whole reach; the end of a document cuts it off later
-            s = np.maximum(p[i].astype(np.int64) - reach, 0)
-            out += _deal(groups, 1, d[i], (s, 4), (p[i].astype(np.int64) + WORD + reach - s, 4))
+            out += _deal(groups, 4, d[i], (p[i], 4))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])
 
     return blobs.groupBy("bucket").applyInArrow(run, BLOB)
@@ -291,65 +316,75 @@ def covered_windows(doc: np.ndarray, left: np.ndarray, right: np.ndarray, left_n
     return mask
 
 
-def _corpus(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id sorted, bytes, offsets) of a group of documents."""
-    t = t.combine_chunks().sort_by("doc_id")
-    data, off = C.flat_bytes(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
-    return t.column("doc_id").to_numpy(), data, off
+class _Corpus:
+    """A group of documents: their rows in order of doc_id and place, as bytes with offsets."""
+
+    def __init__(self, t: pa.Table):
+        """t: doc_id, bytes of earlier rows of the doc_id, text."""
+        t = t.rename_columns(["doc_id", "base", "text"]).combine_chunks().sort_by([("doc_id", "ascending"), ("base", "ascending")])
+        self.data, self.off = C.flat_bytes(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
+        self.ids = t.column("doc_id").to_numpy()
+
+    def places(self, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in data, row) of positions in documents."""
+        at = self.off[np.searchsorted(self.ids, doc)] + pos.astype(np.int64)
+        return at, np.searchsorted(self.off, at, "right") - 1
+
+    def position(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return at - self.off[np.searchsorted(self.ids, self.ids[row])]
 
 
 def _blobs(t: pa.Table, kind: int) -> list:
     return [d for k, d in zip(t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True) if k == kind]
 
 
-def gather(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
-    """The bytes asked for, by bucket of their trigger (kind 0), or windows of hot triggers by their own hash (kind 2)."""
+def gather(docs: DataFrame, asked: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """The bytes asked for, by bucket of their trigger (kind 0), or windows of hot triggers by their own hash (kind 2).
+
+    docs: group, doc_id, bytes of earlier rows of the doc_id, text.
+    """
     reach = DEPTH - WORD
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, data, off = _corpus(left)
         doc, pos, hot = _stack(_blobs(right, 0), ASK)
         out = []
-        if len(doc) and len(ids):
-            row = np.searchsorted(ids, doc)
-            at = off[row] + pos.astype(np.int64)
+        if len(doc) and left.num_rows:
+            own = _Corpus(left.drop_columns(left.column_names[0]))
+            data, off, ids = own.data, own.off, own.ids
+            at, row = own.places(doc, pos)
             s, e = surroundings(data, off, row, at, DEPTH, WORD)
             h = C.span_hash(data, at, at + WORD)
             cold = np.flatnonzero(hot == 0)
-            b = (h[cold] % np.uint64(buckets)).astype(np.int64)
-            o = cold[np.lexsort((h[cold], b))]  # like triggers stand together and compress
-            b = (h[o] % np.uint64(buckets)).astype(np.int64)
-            edge = np.searchsorted(b, np.arange(buckets + 1))
-            for k in range(buckets):
-                i = o[edge[k] : edge[k + 1]]
-                if len(i):
-                    where = at[i][:, None] + np.arange(-reach, WORD + reach)
-                    ok = (where >= s[i][:, None]) & (where < e[i][:, None])
-                    span = np.where(ok, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
-                    head = np.array([len(i)], "<i8").tobytes() + doc[i].astype("<i8").tobytes() + pos[i].astype("<u4").tobytes()
-                    out.append((k, 0, head + (at - s)[i].astype(np.uint8).tobytes() + (e - at - WORD)[i].astype(np.uint8).tobytes() + span.tobytes()))
+            o = cold[np.argsort(h[cold], kind="stable")]  # like triggers stand together and compress
+            for k, i in _present(bucket_of(h[o], buckets)):
+                i = o[i]
+                where = at[i][:, None] + np.arange(-reach, WORD + reach)
+                ok = (where >= s[i][:, None]) & (where < e[i][:, None])
+                span = np.where(ok, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+                head = np.array([len(i)], "<i8").tobytes() + doc[i].astype("<i8").tobytes() + pos[i].astype("<u4").tobytes()
+                out.append((k, 0, head + (at - s)[i].astype(np.uint8).tobytes() + (e - at - WORD)[i].astype(np.uint8).tobytes() + span.tobytes()))
             i = np.flatnonzero(hot)
             if len(i):
                 start = s[i][:, None] + np.arange(reach + 1)
                 ok = start + DEPTH <= e[i][:, None]
                 r, start = np.broadcast_to(row[i][:, None], ok.shape)[ok], start[ok]
-                own, first = np.unique(start, return_index=True)
+                place, first = np.unique(start, return_index=True)
                 r = r[first]
-                w = C.span_hash(data, own, own + DEPTH)
+                w = C.span_hash(data, place, place + DEPTH)
                 o, cls, low = _smallest([w], ids[r])
-                gone = np.zeros(len(own), bool)
+                gone = np.zeros(len(place), bool)
                 gone[o] = ids[r][o] > low[cls]
+                where = own.position(place, r)
                 j = np.flatnonzero(gone)
                 if len(j):
-                    out.append((int(w[j[0]] % np.uint64(buckets)), 1, encode(ids[r[j]], ((own - off[r])[j], 4), (np.full(len(j), DEPTH), 4))))
+                    out.append((int(bucket_of(w[j[:1]], buckets)[0]), 1, encode(ids[r[j]], (where[j], 4), (np.full(len(j), DEPTH), 4))))
                 j = np.flatnonzero(~gone)
-                b = (w[j] % np.uint64(buckets)).astype(np.int64)
-                for k in np.unique(b).tolist():
-                    q = j[b == k]
-                    out.append((k, 2, encode(ids[r[q]], (w[q], 8), ((own - off[r])[q], 4))))
+                for k, q in _present(bucket_of(w[j], buckets)):
+                    q = j[q]
+                    out.append((k, 2, encode(ids[r[q]], (w[q], 8), (where[q], 4))))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])
 
-    return docs.groupBy("g").cogroup(asked.groupBy("bucket")).applyInArrow(run, BLOB)
+    return docs.groupBy(docs.columns[0]).cogroup(asked.groupBy("bucket")).applyInArrow(run, BLOB)
 
 
 def compare(blobs: DataFrame, groups: int) -> DataFrame:
@@ -385,29 +420,30 @@ def compare(blobs: DataFrame, groups: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, BLOB)
 
 
-def _covered(ids, data, off, right: pa.Table) -> np.ndarray:
+def _covered(own: _Corpus, right: pa.Table) -> np.ndarray:
     """Whether each byte of a group of documents is covered."""
-    delta = np.zeros(len(data) + 1, np.int32)
+    delta = np.zeros(len(own.data) + 1, np.int32)
     reach = DEPTH - WORD
 
-    def add(doc, start, end):
-        row = np.searchsorted(ids, doc)
-        s = off[row] + start
-        e = np.minimum(off[row] + end, off[row + 1])
-        np.add.at(delta, s, 1)
-        np.subtract.at(delta, e, 1)
+    def add(start, end):
+        np.add.at(delta, start, 1)
+        np.subtract.at(delta, end, 1)
 
-    if len(ids):
+    if len(own.ids):
         doc, start, length = _stack(_blobs(right, 1), SPAN)
         if len(doc):
-            start = start.astype(np.int64)
-            add(doc, start, start + length.astype(np.int64))
+            at, _ = own.places(doc, start)
+            add(at, at + length.astype(np.int64))
+        doc, pos = _stack(_blobs(right, 4), WHOLE)
+        if len(doc):
+            at, row = own.places(doc, pos)
+            add(*surroundings(own.data, own.off, row, at, DEPTH, WORD))
         doc, pos, mask = _stack(_blobs(right, 3), MASK)
         for k in range(reach + 1):
             i = np.flatnonzero(mask >> np.uint64(k) & np.uint64(1))
             if len(i):
-                start = pos[i].astype(np.int64) - k
-                add(doc[i], start, start + DEPTH)
+                at, _ = own.places(doc[i], pos[i])
+                add(at - k, at - k + DEPTH)
     np.cumsum(delta, out=delta)
     return delta[:-1] > 0
 
@@ -415,13 +451,19 @@ def _covered(ids, data, off, right: pa.Table) -> np.ndarray:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _rewrite(with_text: bool, docs: DataFrame, spans: DataFrame, extra: list[str]) -> DataFrame:
-    schema = (docs.select(*extra).schema if with_text else None)
+def _rewrite(docs: DataFrame, spans: DataFrame, extra: list[str] | None) -> DataFrame:
+    """Figures of every row, or with ``extra`` these columns with what is kept of the text.
+
+    docs: group, bytes of earlier rows of the doc_id, then doc_id, text and the rest.
+    """
+    group, base = docs.columns[:2]
+    schema = docs.select(*(F.col(f"`{c}`") for c in extra)).schema if extra else OUT
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks().sort_by("doc_id")
-        ids, data, off = _corpus(left)
-        gone = _covered(ids, data, off, right)
+        left = left.combine_chunks().sort_by([("doc_id", "ascending"), (base, "ascending")])
+        own = _Corpus(left.select(["doc_id", base, "text"]))
+        data, off = own.data, own.off
+        gone = _covered(own, right)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         inner = off[1:-1][off[1:-1] < len(data)]
@@ -429,15 +471,15 @@ def _rewrite(with_text: bool, docs: DataFrame, spans: DataFrame, extra: list[str
         removed, spans_n = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)])[off] for x in (gone, edge))
         cols: list[list] = [[], [], [], [], []]
         texts = []
-        for k, d in enumerate(ids.tolist()):
+        for k, d in enumerate(own.ids.tolist()):
             a, b = off[k], off[k + 1]
             raw = data[a:b][~gone[a:b]].tobytes() if removed[k + 1] > removed[k] else data[a:b].tobytes()
-            if with_text:
+            if extra:
                 texts.append(raw.decode(errors="ignore"))
             else:
                 for c, v in zip(cols, (d, int(b - a), int(removed[k + 1] - removed[k]), int(spans_n[k + 1] - spans_n[k]), hashlib.sha256(raw).hexdigest()), strict=True):
                     c.append(v)
-        if with_text:
+        if extra:
             out = left.select(extra)
             at = out.schema.get_field_index("text")
             null = left.column("text").is_null().to_pylist()
@@ -446,66 +488,54 @@ def _rewrite(with_text: bool, docs: DataFrame, spans: DataFrame, extra: list[str
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.groupBy("g").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema if with_text else OUT)
+    return docs.groupBy(group).cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
 
 
 def _spans(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """All covered spans (kinds 1 and 3) by group of documents."""
-    spark = docs.sparkSession
-    plain = docs.select("doc_id", "text")
-    first = C.cut(settle(entries(plain, buckets), groups), "settled")
-    C.release(spark)
-    more = C.cut(compare(gather(docs.select("g", "doc_id", "text"), first.where("kind = 0"), buckets), groups), "compared")
-    C.release(spark)
-    return first.where("kind = 1").unionByName(more)
+    """All covered spans (kinds 1, 3 and 4) by group of documents."""
+    group, base = docs.columns[:2]
+    labels = C.labels(docs.sparkSession, buckets)
+    first = C.cut(settle(entries(docs.select("doc_id", "text", base), labels), groups), "settled")
+    more = C.cut(compare(gather(docs.select(group, "doc_id", base, "text"), first.where("kind = 0"), labels), groups), "compared")
+    return first.where("kind <> 0").unionByName(more)
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """Documents with an id, their group, and the numbers of groups and buckets for their bytes.
+    """Rows with a doc_id after two internal columns, and the numbers of groups and buckets for their bytes.
 
-    Repeated ids become consecutive internal ids, in order of their texts.
+    The columns, of names that docs has not: the group of the doc_id, and the bytes of the rows
+    before this one of the same doc_id (0 unless an id repeats), in order of their texts.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group, base = C.fresh(docs, "g"), C.fresh(docs, "base")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    own = docs.where("doc_id is not null")
+    before = F.lit(0).cast("long")
+    again = C.repeats(docs, "doc_id")
+    if again:
+        before = F.coalesce(F.sum(size).over(W.partitionBy("doc_id").orderBy("text").rowsBetween(W.unboundedPreceding, -1)), before)
+    total = own.agg(F.sum(size)).first()[0] or 0
     groups = max(C.parts(spark, 4), -(-total // GROUP)) | 1
     buckets = max(C.parts(spark, 4), -(-total // BUCKET))
-    return docs.withColumn("g", group_col(groups)), groups, buckets
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id made unique: repeated ids are numbered in order of text, else it is left as it is."""
-    most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    if most == 1:
-        return docs.withColumn("_id", F.col("doc_id"))
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    return docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id") * most + n)
+    own = own.select(group_col(groups).alias(group), before.alias(base), *(F.col(f"`{c}`") for c in docs.columns))
+    return (C.cut(own, "numbered") if again else own), groups, buckets
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    own = _numbered(C.columns_of(docs, "doc_id", "text"))
-    d, groups, buckets = _prepared(own.drop("_id"))
-    out = _rewrite(False, d.select("g", "doc_id", "text"), _spans(d, groups, buckets), [])
-    numbered = dict(own.select("doc_id", "_id").where("doc_id <> _id").limit(1).collect())
-    if numbered:
-        out = out.join(own.select("doc_id", "_id"), "doc_id").withColumn("doc_id", F.col("_id")).drop("_id")
-    none = C.columns_of(docs, "doc_id", "text").where("doc_id is null")
+    docs = C.columns_of(docs, "doc_id", "text")
+    d, groups, buckets = _prepared(docs)
+    out = _rewrite(d, _spans(d, groups, buckets), None)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
     sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    return out.unionByName(none.select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), sha.alias("kept_sha256")))
+    return out.unionByName(docs.where("doc_id is null").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), sha.alias("kept_sha256")))
 
 
 def dedup_text(docs: DataFrame) -> DataFrame:
     """docs with repeated spans removed from text (null texts stay null); all columns kept."""
-    names = docs.columns
-    own = _numbered(docs)
-    d, groups, buckets = _prepared(own)
-    out = _rewrite(True, d, _spans(d, groups, buckets), [*names, "_id"])
-    return out.withColumn("doc_id", F.col("_id")).select(*names).unionByName(docs.where("doc_id is null"))
+    d, groups, buckets = _prepared(docs)
+    return _rewrite(d, _spans(d, groups, buckets), docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
