@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, LONG, MAX_LONG_LISTS = 64, 16, 1 << 17
-BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 2048
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1024
 
 
 def needed(n: int, k: int, num: int, den: int) -> int:
@@ -114,36 +114,71 @@ def entries(reps: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, num:
     return reps.select("doc_id", "n", "sketch").mapInArrow(run, "value long, doc_id long, n long, long boolean, central long")
 
 
+def list_pairs(v: np.ndarray, d: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Distinct pairs (2 rows) of the lists of at most LONG members; rows are sorted by value, then document."""
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    size = np.diff(np.r_[start, len(v)])
+    first, length = np.repeat(start, size), np.repeat(size, size)
+    i = np.arange(len(v))
+    found = []
+    for gap in range(1, LONG):
+        x = np.flatnonzero((length > gap) & (length <= LONG) & (i + gap < first + length))
+        y = x + gap
+        fit = (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num) & (d[x] != d[y])
+        found.append(np.stack([d[x[fit]], d[y[fit]]]))
+    p = np.concatenate(found, 1)
+    p = p[:, np.lexsort(p)]
+    return p[:, np.r_[True, (p[:, 1:] != p[:, :-1]).any(0)][: p.shape[1]]]
+
+
 def short_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of the lists outside the table; kind 1 rows are members (value a, doc b) of a list found long."""
+    """Pairs (a < b) of the lists outside the table; kind 1 rows are members (value a, doc b) of a list found long.
+
+    Lists stream by in the order of their values; only the one that a batch cuts is
+    carried, and of a list known to be long nothing but its value.
+    """
     n = C.parts(index.sparkSession, 8)
 
+    def rows(a, b, kind):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+    def settled(v, d, n):
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, v[1:] != v[:-1]]), len(v)])
+        big = np.repeat(size, size) > LONG
+        if big.any():
+            yield rows(v[big], d[big], 1)
+        if not big.all():
+            p = list_pairs(v[~big], d[~big], n[~big], num, den)
+            yield rows(p[0], p[1], 0)
+
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        v, d, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
-        o = np.lexsort((d, v))
-        v, d, n = v[o], d[o], n[o]
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        size = np.diff(np.r_[start, len(v)])
-        first = np.repeat(start, size)
-        length = np.repeat(size, size)
-        i = np.arange(len(v))
-        for gap in range(1, LONG):
-            j = i + gap
-            ok = (length > gap) & (length < LONG + 1) & (j < first + length)
-            x, y = i[ok], j[ok]
-            fit = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
-            x, y = x[fit], y[fit]
-            p = np.unique(np.stack([d[x], d[y]]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-            p = p[:, p[0] != p[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(np.zeros(p.shape[1], np.int32))], ["a", "b", "kind"])
-        big = length > LONG
-        yield pa.RecordBatch.from_arrays([pa.array(v[big]), pa.array(d[big]), pa.array(np.ones(int(big.sum()), np.int32))], ["a", "b", "kind"])
-
-    rows = index.where("not long").select("value", "doc_id", "n").repartition(n, "value")
-    return rows.mapInArrow(run, "a long, b long, kind int")
+        held = [np.zeros(0, np.int64)] * 3
+        known = None  # value of a long list whose first members are out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, d, n = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
+            if known is not None:
+                k = int(np.searchsorted(v, known, "right"))
+                if k:
+                    yield rows(v[:k], d[:k], 1)
+                v, d, n = v[k:], d[k:], n[k:]
+                if not len(v):
+                    held = [v, d, n]
+                    continue
+                known = None
+            k = int(np.searchsorted(v, v[-1], "left"))
+            if k:
+                yield from settled(v[:k], d[:k], n[:k])
+            if len(v) - k > LONG:
+                yield rows(v[k:], d[k:], 1)
+                known, k = v[-1], len(v)
+            held = [v[k:], d[k:], n[k:]]
+        if len(held[0]):
+            yield from settled(*held)
+
+    own = index.where("not long").select("value", "doc_id", "n").repartition(n, "value").sortWithinPartitions("value", "doc_id")
+    return own.mapInArrow(run, "a long, b long, kind int")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
@@ -235,17 +270,22 @@ def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left:
 
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[where] > 1
-    member = np.repeat(np.arange(len(sets)), size)[keep]
-    col = where[keep]
-    by = np.searchsorted(member, np.arange(len(sets) + 1))
+    flat.sort()
+    again = flat[1:] == flat[:-1]
+    again[1:] &= ~again[:-1]  # only the second of each run
+    common = flat[1:][again]
+    del flat, again
+    col = []  # of each member: its values that others hold too, by their number
+    for s in sets:
+        at = np.searchsorted(common, s)
+        at[at == len(common)] = 0
+        col.append(at[common[at] == s].astype(np.int32) if len(common) else np.zeros(0, np.int32))
     out = []
 
     def matrix(rows, cols_used):
         m = np.zeros((len(rows), len(cols_used)), np.float32)
         for r, i in enumerate(rows):
-            c = col[by[i] : by[i + 1]]
+            c = col[i]
             p = np.searchsorted(cols_used, c)
             ok = (p < len(cols_used)) & (cols_used[np.minimum(p, len(cols_used) - 1)] == c)
             m[r, p[ok]] = 1
@@ -257,8 +297,8 @@ def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left:
             ry = right[y : y + step]
             if len({find(c) for c in comp[np.r_[rx, ry]].tolist()}) < 2:
                 continue
-            cx = np.unique(np.concatenate([col[by[i] : by[i + 1]] for i in rx]))
-            cy = np.unique(np.concatenate([col[by[i] : by[i + 1]] for i in ry]))
+            cx = np.unique(np.concatenate([col[i] for i in rx]))
+            cy = np.unique(np.concatenate([col[i] for i in ry]))
             both = np.intersect1d(cx, cy, assume_unique=True)
             same = np.zeros((len(rx), len(ry)), np.float32)
             for z in range(0, len(both), 8192):
@@ -306,14 +346,11 @@ def near_groups(docs: DataFrame, num: int = 4, den: int = 5, k: int = K) -> Data
 
     Rows that repeat a doc_id are one document with several texts, linked by any of them.
     """
-    most = docs.where("doc_id is not null").groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    if most == 1:
+    if not C.repeats(docs, "doc_id"):
         return _groups(docs, num, den, k)
-    from pyspark.sql import Window as W
-
-    own = C.columns_of(docs, "doc_id", "text")
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    own = C.cut(own.withColumn("_i", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") * most + n)), "numbered")
+    # any distinct numbers do, as the smallest doc_id is sought afterwards; writing them fixes them
+    own = C.columns_of(docs, "doc_id", "text").withColumn("_i", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+    own = C.cut(own, "numbered")
     found = C.cut(_groups(own.select(F.col("_i").alias("doc_id"), "text"), num, den, k), "groups")
     ids = own.where("_i is not null").select("_i", F.col("doc_id").alias("d"))
     named = found.join(ids, found.doc_id == ids._i, "left").select("d", "n_shingles", "component_id")
@@ -336,8 +373,8 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     index = C.cut(entries(reps, order, k, num, den), "index")
     short = C.cut(short_pairs(index, num, den), "short")
     long_ = index.where("long").select("value", "doc_id", "n", "central")
-    pivot = long_.groupBy("value").agg(F.max(F.struct("central", F.negative("doc_id").alias("d"), "n")).alias("p"))
-    star = long_.join(F.broadcast(pivot), "value").select(F.negative("p.d").alias("q"), "doc_id", "n", F.col("p.n").alias("m"))
+    pivot = long_.groupBy("value").agg(F.max(F.struct("central", F.bitwise_not("doc_id").alias("d"), "n")).alias("p"))
+    star = long_.join(F.broadcast(pivot), "value").select(F.bitwise_not("p.d").alias("q"), "doc_id", "n", F.col("p.n").alias("m"))
     star = star.where((F.col("q") != F.col("doc_id")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
     star = star.select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b"))
     found = short.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("doc_id"))
@@ -360,8 +397,9 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
 def drop_near(docs: DataFrame, num: int = 4, den: int = 5, k: int = K) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays, all columns kept."""
     groups = near_groups(docs, num, den, k).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    gone = C.cut(groups, "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = C.fresh(docs, "gone")
+    found = C.cut(groups.withColumnRenamed("doc_id", gone), "gone")
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
