@@ -1,13 +1,14 @@
 """Byte-level BPE token ids in bulk, with the ids of the `tokenizers` library.
 
 A byte-level BPE file whose ids follow its merge order is loaded into `tiktoken`,
-which gives the same ids several times faster; any other file is run by the
-`tokenizers` library itself.  `tests/llm` compares both on whole texts.  Strings of
-special tokens inside a text are ordinary text.
+which gives the same ids several times faster; any other file, and any text that holds
+the string of an added token ("<|endoftext|>", which the library gives the token's own
+id), is run by the `tokenizers` library itself.  `tests/llm` compares both on whole texts.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from array import array
@@ -35,13 +36,25 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     if model.get("type", "BPE") != "BPE" or kind != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
         return None
     vocab, byte = model["vocab"], _byte_of()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = set(_added(spec))
     for i, m in enumerate(model["merges"]):
         if vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) != 256 + i:
             return None
     return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
+def _added(spec: dict) -> list[str]:
+    return [t["content"] for t in spec.get("added_tokens") or []]
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tok = Tokenizer.from_file(path)
+    return lambda text: tok.encode(text, add_special_tokens=False).ids
+
+
 _open: dict[str, object] = {}
 
 
@@ -50,18 +63,16 @@ def encoder(path: str):
     key = os.fspath(path)
     if key not in _open:
         with open(key, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
+            spec = json.load(f)
+        ranks, added = _ranks(spec), _added(spec)
         if ranks:
             import tiktoken
 
-            _open[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            library = functools.cache(lambda: _library(key))  # loaded only where a text needs it
+            _open[key] = lambda text: library()(text) if any(t in text for t in added) else plain(text)
         else:
-            from tokenizers import Tokenizer
-
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            tok = Tokenizer.from_file(key)
-            tok.encode_special_tokens = True
-            _open[key] = lambda text: tok.encode(text, add_special_tokens=False).ids
+            _open[key] = _library(key)
     ids = _open[key]
 
     def encode(text: str | None) -> bytes:
