@@ -5,8 +5,8 @@ neighbours in that order.  A page becomes a list of text lines (one per block, w
 region of the page it stands in); the lines of a pair are aligned by their longest
 common subsequence and shared lines are template, so they are deleted.  Regions that
 HTML itself marks as not being the article (nav, footer, aside, form, script, elements
-whose class or id names a menu, advert, comment, notice, ...) are dropped beforehand, as
-neighbours may show different adverts.  Inside an <article> or <main>, a shared line
+whose class or id names a menu, advert, comment, notice, ... unless they wrap the page's
+text) are dropped beforehand, as neighbours may show different adverts.  Inside an <article> or <main>, a shared line
 counts as template only when it is no sentence (no closing punctuation) and is not the
 page's heading.  A copy of the page says nothing about the template, so the next nearest
 is used: a neighbour is a copy when nothing is left unshared on either side, when what is
@@ -19,6 +19,7 @@ very long pages are processed whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as H
 import itertools
 import math
@@ -43,38 +44,77 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 BODY = frozenset("article main".split())
 CLOSES_P = BLOCK - {"br"}
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template")
-# Words in class, id or role that name what is not the article.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|topbar|toolbar"
-    r"|comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|copyright|contentinfo|complementary|tags|skip|hidden)(?:$|[\s_-])"
-)
+# Names in class, id or role of what is not the article, ...
+NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsors sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe signup login pagination pager copyright contentinfo complementary".split())
+# ... of what is not unless it holds most of the page's text, ...
+PERHAPS = frozenset("header sidebar side aside notice popup modal overlay search share sharing social related recommend recommended recommendations widget widgets tags skip hidden".split())
+# ... and parts of compound names that say only where or how it stands ("site-footer", "ad-box-2").
+BESIDE = frozenset("site main page top bottom left right center list box bar block section area container wrapper wrap inner outer item items link links button buttons panel unit slot row col column global primary secondary sub mini mobile desktop fixed sticky form title text module group zone holder the my our user reader post article entry".split())
+TITLED = frozenset("post article entry".split())
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
 SPACES = re.compile(r"\s+")
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
 
-def _skipped(tag: str, attrs: str) -> bool:
+@functools.lru_cache(4096)
+def _named(value: str) -> int:
+    """2 if a class, id or role names what is not the article, 1 if perhaps, else 0.
+
+    A name counts as a whole: each of its hyphened parts is such a word or says where it
+    stands, so "has-sidebar", "side-story" or "related-work" name nothing.
+    """
+    most = 0
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x and not re.fullmatch(r"[0-9x]+", x)]
+        words = [x for x in parts if x in NOT_ARTICLE or x in PERHAPS]
+        if words and all(x in BESIDE or x in words for x in parts) and not ("header" in words and TITLED & set(parts)):
+            most = max(most, 2 if any(x in NOT_ARTICLE for x in words) else 1)
+    return most
+
+
+def _skipped(tag: str, attrs: str) -> int:
+    """3 for a region that HTML itself marks as no text of the page, else what its names say."""
     if tag in SKIP:
-        return True
-    if not attrs:
-        return False
-    for name, a, b, c in ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NOT_ARTICLE.search(value):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+        return 3
+    most = 0
+    for name, a, b, c in ATTR.findall(attrs) if attrs else ():
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value.lower())):
+            return 3
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            most = max(most, _named(value))
+    return most
+
+
+@dataclass
+class _Region:
+    """An element whose names say that it is not the article."""
+
+    outer: _Region | None
+    sure: bool
+    size: int = 0  # characters of text in it
+    heading: bool = False  # whether it holds a first heading
+    main: bool = False
+    drop: bool | None = None
+
+    def dropped(self, total: int) -> bool:
+        """A wrapper around the article is none of these, whatever it is called."""
+        if self.drop is None:
+            most = self.size * 2 > total
+            own = not (self.main or (most and (self.heading or not self.sure)))
+            self.drop = own or (self.outer is not None and self.outer.dropped(total))
+        return self.drop
 
 
 def lines(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, inside the article, is a heading) of each block outside skipped regions, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, _Region | None]] = []
     if not page:
-        return out
-    stack: list[tuple[str, bool]] = []  # (tag, whether it began a skipped region)
+        return []
+    stack: list[tuple[str, int, _Region | None]] = []  # (tag, whether it began a skipped region, region around it)
     buf: list[str] = []
+    region: _Region | None = None
     skipping = body = 0
     heading = False
     pos, lower = 0, None
@@ -84,14 +124,19 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
             t = SPACES.sub(" ", H.unescape("".join(buf))).strip()
             buf.clear()
             if t:
-                out.append((t, body > 0, heading))
+                out.append((t, body > 0, heading, region))
+                at = region
+                while at:
+                    at.size += len(t)
+                    at = at.outer
 
     def leave(k):
-        nonlocal skipping, body, heading
+        nonlocal skipping, body, heading, region
         while len(stack) > k:
-            tag, skips = stack.pop()
-            if tag in BLOCK:
+            tag, skips, around = stack.pop()
+            if tag in BLOCK or region is not around:
                 flush()
+            region = around
             skipping -= skips
             body -= tag in BODY
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -144,13 +189,21 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         skips = _skipped(tag, m[3])
-        stack.append((tag, skips))
-        skipping += skips
+        stack.append((tag, int(skips == 3), region))
+        if 0 < skips < 3 and not skipping:
+            flush()
+            region = _Region(region, skips == 2)
+        skipping += skips == 3
         body += tag in BODY
+        at = region if not skipping and tag in ("h1", "main") else None
+        while at:
+            at.heading, at.main = at.heading or tag == "h1", at.main or tag == "main"
+            at = at.outer
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = True
     flush()
-    return out
+    total = sum(len(x[0]) for x in out)
+    return [x[:3] for x in out if x[3] is None or not x[3].dropped(total)]
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
