@@ -25,6 +25,7 @@ kept; extra columns are ignored by ``leaks`` and kept by ``drop_leaks``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -232,8 +233,8 @@ def judge(ix: Index, col: pa.Array, threshold: float = THRESHOLD, overlap: float
     return out
 
 
-def indexes(bench: DataFrame, max_bytes: int = MAX_INDEX) -> list[Index]:
-    """Indexes of parts of the benchmark, each of at most about max_bytes of text."""
+def indexes(bench: DataFrame, max_bytes: int = MAX_INDEX) -> Iterator[Index]:
+    """Indexes of parts of the benchmark, each of at most about max_bytes of text, one at a time."""
     names = bench.columns
     q, a = (F.col("question"), F.col("answer")) if {"question", "answer"} <= set(names) else (F.lit(None).cast("string"),) * 2
     b = bench.select("item_id", q.alias("q"), a.alias("a"), "text").where("item_id is not null and text is not null")
@@ -245,11 +246,13 @@ def indexes(bench: DataFrame, max_bytes: int = MAX_INDEX) -> list[Index]:
         return [(r.item_id, *((r.q, r.a) if r.q and r.a else split_answer(r.text)), r.text) for r in sorted(part.collect(), key=lambda r: (r.item_id, r.text))]
 
     if n == 1:
-        return [build(rows(0))]
+        yield build(rows(0))
+        return
     counts = Counts()
     for i in range(n):
         counts.add(rows(i))
-    return [build(rows(i), counts) for i in range(n)]
+    for i in range(n):
+        yield build(rows(i), counts)
 
 
 OUT = "doc_id long, contaminated boolean, item_ids array<long>, n_retrieved int, best_score double, question_overlap double, answer_overlap double"

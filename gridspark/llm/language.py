@@ -2,9 +2,9 @@
 
 Input are windows of ``LENGTH`` bytes of the lower-cased UTF-8 text.  Filters of
 several widths over one-hot bytes (so a filter is a table of byte weights per offset),
-max pooling over the window, ReLU and softmax.  It is trained with Adam on a bounded
-sample of labelled documents (``MAX_DOCS`` per language, ``MAX_WINDOWS`` windows spread
-over each whole text).  A document's prediction is the mean of the class probabilities
+max pooling over the window, ReLU and softmax.  It is trained with Adam on all windows of
+a bounded sample of labelled documents (``MAX_DOCS`` and about ``MAX_BYTES`` of whole texts
+a language, dealt by a hash of doc_id).  A document's prediction is the mean of the class probabilities
 over all windows of its whole text, weighted by their bytes.
 
 Defined cases: a null text or one without any letter gets ``und`` with score 0;
@@ -25,7 +25,7 @@ from . import common as C
 from .toxicity import fold
 
 LENGTH, WIDTHS, FILTERS = 128, (2, 3, 4), 8
-MAX_DOCS, MAX_WINDOWS = 400, 6
+MAX_DOCS, MAX_BYTES = 400, 256 << 10
 FOLDS, HELD_OUT = 4, 2
 WIDE = max(WIDTHS)
 
@@ -109,28 +109,25 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list, epochs: int = 8, batch: int =
     return net
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> Net | None:
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Net | None:
     """Fit on a bounded sample of documents outside the held-out fold with a language."""
     ok = C.columns_of(docs, "doc_id", "text", "lang").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
     ok = ok.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    sizes = ok.groupBy("lang").count().collect()  # one row per language
+    sizes = ok.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min("u").alias("u")).collect()  # one row per language
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
-    share = {r["lang"]: int((1 << 20) * min(1.0, max_docs / r["count"])) for r in sizes}
+    # whole documents below a mark on the hash; the first of a language is always among them
+    share = {r.lang: max(r.u, int((1 << 20) * min(1.0, max_docs / r.n, max_bytes / r.b))) for r in sizes}
     share = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])
-    some = ok.where(F.col("u") < share[F.col("lang")])
+    some = ok.where(F.col("u") <= share[F.col("lang")])
 
     def cut_up(batches):
         for b in C.chunks(batches):
             x, row, _ = windows(*C.flat_bytes(pa.compute.utf8_lower(b.column(0))))
-            n = np.bincount(row, minlength=b.num_rows)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            step = np.maximum(1, -(-n // max_windows))[row]  # spread over the whole text
-            own = np.flatnonzero(k % step == 0)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row[own])), b.column(2).take(pa.array(row[own])), pa.array([w.tobytes() for w in x[own]], pa.binary())], ["lang", "u", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array([w.tobytes() for w in x], pa.binary())], ["lang", "u", "x"])
 
-    rows = some.select("text", "lang", "u").mapInArrow(cut_up, "lang string, u long, x binary").orderBy("u", "x").collect()
+    rows = some.select("text", "lang", "u").mapInArrow(cut_up, "lang string, u long, x binary").orderBy("u", "x").collect()  # the documented bound
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(len(rows), -1)
     at = {v: i for i, v in enumerate(langs)}
     return fit(x, np.array([at[r.lang] for r in rows]), langs)
