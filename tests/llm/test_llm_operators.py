@@ -78,10 +78,10 @@ def test_ids_are_those_of_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     encode = tokens.encoder(tokens.default_path())
-    for text in [*(x or "" for _, x in corpus()), "a  b\n\n c\t\t'tis it's <|endoftext|> ünï  ", "   ", "　 a", "日本語 text 123,456 —", "x" * 3000]:
+    for text in [*(x or "" for _, x in corpus()), "a  b\n\n c\t\t'tis it's <|endoftext|> ünï  ", "   ", "　 a", "日本語 text 123,456 —", "x" * 3000, "hello <|endoftext|> you", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n<|endoftext"]:
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encode("hello <|endoftext|> you"), "<u4")
 
 
 def test_spfhp_places_everything():
@@ -155,6 +155,12 @@ CASES = {
     "<article><aside>x</aside><p class=\"lead\">A&nbsp;B</p><div class='ad-box'>buy</div></article>": "A B",
     "<article><p>x <!-- no > --> y</p><div hidden>z</div></article>": "x y",
     "plain &lt;text&gt;": "plain <text>", "": "", "<p>open": "open", "<article></article>": "",
+    '<div class="content has-sidebar"><p>Hello world.</p></div>': "Hello world.", '<div class="layout no-sidebar"><p>Hello world.</p></div>': "Hello world.",
+    '<div id="side-story"><p>Hello world.</p></div>': "Hello world.", '<div class="tags-and-notes">Hello world.</div>': "Hello world.",
+    '<article><div class="related-work">Hello world.</div></article>': "Hello world.", '<article><div class="article-header"><h1>T</h1></div><p>A.</p></article>': "T A.",
+    '<div class="sidebar"><h1>T</h1><p>The whole page stands in here.</p></div><p>x</p>': "T The whole page stands in here. x", '<div class="menu"><main>A.</main><div class="menu">m</div></div>': "A.",
+    '<h1>T</h1><p>A longer text than the rest.</p><div class="sidebar">x</div><div class="site-footer">y</div><div id="reader_comments">z</div><div class="ad-300x250">b</div><span class="cookie-notice">c</span>': "T A longer text than the rest.",
+    '<p>Short.</p><div class="comments"><p>A reader says far more than the article itself does.</p></div>': "Short.",
 }
 
 
@@ -225,8 +231,11 @@ def test_lcs_matches_dynamic_programming():
 
 
 def brute_removed(rows):
-    seen, out = set(), {}
+    seen, own, last, out = set(), set(), None, {}
     for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        if i != last:  # only a smaller doc_id covers
+            seen |= own
+            own, last = set(), i
         b = (t or "").encode()
         grams = [b[k : k + 50] for k in range(len(b) - 49)]
         cover = np.zeros(len(b) + 1, int)
@@ -234,7 +243,7 @@ def brute_removed(rows):
             if g in seen:
                 cover[k] += 1
                 cover[min(k + 50, len(b))] -= 1
-        seen.update(grams)
+        own.update(grams)
         gone = np.cumsum(cover[:-1]) > 0
         kept = bytes(np.frombuffer(b, np.uint8)[~gone]) if len(b) else b""
         out.setdefault(i, []).append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -271,6 +280,39 @@ def test_suffix_dedup_odd_inputs(spark):
     assert suffix.removed(frame(spark, []).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_never_cover_each_other(spark):
+    big, text = 5 * 10**18, prose(random.Random(2), 30)
+    rows = [(7, text), (7, text), (big, "x" + text + "y"), (big, text), (big, None), (big, ""), (-big, "é" * 20)]
+    d = frame(spark, rows, True)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed(d).collect())
+    assert got == sorted((i, *v) for i, vs in brute_removed(rows).items() for v in vs)
+    assert {r[2] for r in got if r[0] == 7} == {0} and max(r[2] for r in got) > 0
+
+
+def test_clashing_columns_stay(spark):
+    text = prose(random.Random(2), 30)
+    d = spark.createDataFrame([(5 * 10**18, text, 777, "i", "o", 3), (5 * 10**18, text, 778, "j", "p", 4), (1, text, 779, None, None, 5)], "doc_id long, text string, g int, _id string, _gone string, base int")
+    key = ["doc_id", "g", "_id", "_gone", "base"]
+    want = sorted(map(tuple, d.select(key).collect()), key=str)
+    out = suffix.dedup_text(d)
+    assert out.columns == d.columns and sorted(map(tuple, out.select(key).collect()), key=str) == want
+    assert {r.g: r.text for r in out.collect()} == {777: "", 778: "", 779: text}
+    kept = neardup.drop_near(d)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.select(key).collect()] == [x for x in want if x[0] == 1]
+    low = spark.createDataFrame([(-(1 << 63), text), ((1 << 63) - 1, text), ((1 << 63) - 1, text)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_groups(low).collect()} == {(-(1 << 63), -(1 << 63)), ((1 << 63) - 1, -(1 << 63))}
+
+
+def test_long_text_has_the_triggers_of_its_segments(monkeypatch):
+    rng = random.Random(5)
+    data, off = C.flat_bytes(pa.array([prose(rng, n) for n in (900, 3, 0, 400, 2000)]))
+    whole = suffix.triggers(data, off)
+    hashed = C.span_hash(data, *(x := np.sort(np.random.default_rng(1).integers(0, len(data), (2, 500)), 0)))
+    monkeypatch.setattr(C, "SEGMENT", 256)
+    assert all((a == b).all() for a, b in zip(whole, suffix.triggers(data, off), strict=True))
+    assert (hashed == C.span_hash(data, *x)).all()
+
+
 # ---- 6 -----------------------------------------------------------------------------------
 
 
@@ -316,6 +358,27 @@ def test_near_groups_odd_inputs(spark):
     assert neardup.near_groups(frame(spark, []).limit(0)).count() == 0
 
 
+def test_streamed_lists_give_all_pairs(spark):
+    """Lists that batches cut, among them long ones, against a plain loop."""
+    rng = random.Random(3)
+    rows = [(v, d, rng.randint(8, 12), False, 0) for v in range(60) for d in rng.sample(range(500), rng.choice([1, 2, 5, 16, 17, 90]))]
+    d = spark.createDataFrame(rows, "value long, doc_id long, n long, long boolean, central long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = neardup.short_pairs(d, 4, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs, members = set(), set()
+    for v in range(60):
+        own = sorted((r[1], r[2]) for r in rows if r[0] == v)
+        if len(own) > neardup.LONG:
+            members |= {(v, x) for x, _ in own}
+        else:
+            pairs |= {(a, b) for i, (a, m) in enumerate(own) for b, n in own[i + 1 :] if min(m, n) * 5 >= max(m, n) * 4}
+    assert {(r.a, r.b) for r in got if r.kind == 0} == pairs
+    assert sorted((r.a, r.b) for r in got if r.kind == 1) == sorted(members)
+
+
 @pytest.mark.parametrize("small", [0, 1 << 20])
 def test_components_against_union_find(spark, small):
     rng = random.Random(4)
@@ -459,6 +522,17 @@ def test_language_held_out(spark):
     assert (t[t["held_out"]]["lang_pred"] == t[t["held_out"]]["lang"]).mean() > 0.97
 
 
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, y, langs: seen.append((x.copy(), len(y), langs)))
+    rows = [(k, ("ab " * 400) if k % 3 else "der hund", "en" if k % 3 else "de", "s", 1) for k in range(300)]
+    language.train(spark.createDataFrame(rows, DOCS), max_docs=50, max_bytes=20_000)
+    x, n, langs = seen.pop()
+    long = -(-1200 // language.LENGTH)  # all windows of each whole text
+    assert langs == ["de", "en"] and 0 < (n - int((x[:, 0] == ord("d")).sum())) <= 2 * long * 20_000 // 1200
+    language.train(spark.createDataFrame(rows[1:2], DOCS), max_docs=50, max_bytes=1)
+    assert seen.pop()[1] == long  # never fewer than one document
+
 def test_language_odd_inputs(spark):
     rows = [(k, "the cat sat on the mat and the dog" if k % 2 else "der hund und die katze sind nicht da", "en" if k % 2 else "de", "s", 1) for k in range(40)]
     d = spark.createDataFrame([*rows, (100, None, "en", "s", 0), (101, "12 34!", None, "s", 0), (102, "", "de", "s", 0)], DOCS)
@@ -491,13 +565,60 @@ def test_rollup_batches(spark, tmp_path):
     want = {("a", "en", "t2"): (1, 12, 40), (None, None, "t1"): (1, 7, 9)}
     read = lambda: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens, r.chars) for r in store.totals().collect()}
     assert read() == want
-    store.compact("all")
-    assert read() == want and not store.apply("1", first)
+    assert store.compact("all") and read() == want and not store.apply("1", first)
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["fold=all"]
+    assert not store.compact("all") and read() == want  # a known id
+    assert store.apply("2b", first) and store.compact("2") and not store.apply("2", first)  # the id of a batch names another fold
+    want[("a", "en", "t1")] = (2, 15, 60)
+    want[(None, None, "t1")] = (2, 14, 18)
+    assert read() == want and store.committed() == ["1", "2", "2b", "3"] and store.apply("2c", e([("delete", "a", "en", "t1", 10, 40, None, None, None), ("delete", "a", "en", "t1", 5, 20, None, None, None), ("delete", None, None, "t1", 7, 9, None, None, None)]))
+    want = {("a", "en", "t2"): (1, 12, 40), (None, None, "t1"): (1, 7, 9)}
     half = tmp_path / "r" / "batch=4"
     half.mkdir()  # a job that died before its marker
     assert read() == want and store.apply("4", first) and read()[("a", "en", "t1")] == (2, 15, 60)
 
 
+@pytest.mark.parametrize("step", ["rows", "replaces", "sweep", "part of the sweep"])
+def test_compaction_survives_a_kill(spark, tmp_path, monkeypatch, step):
+    import shutil
+
+    e = lambda n: spark.createDataFrame([("insert", "a", "en", "t1", n, n, None, None, None)], "action string, source string, lang string, tokenizer string, n_tokens long, n_chars long, old_tokenizer string, old_tokens long, old_chars long")
+    store = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    store.apply("1", e(10))
+    store.compact("f0")
+    store.apply("2", e(5))
+    read = lambda s: [(r.docs, r.tokens) for r in s.totals().collect()]
+
+    def killed(*a):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(rollups.Rollup, "sweep", killed)
+    with pytest.raises(KeyboardInterrupt):
+        store.compact("f1")
+    monkeypatch.undo()
+    at = tmp_path / "r"
+    if step in ("rows", "replaces"):  # died before the marker of that part
+        for part in ("rows", "replaces")[("rows", "replaces").index(step) :]:
+            shutil.rmtree(at / "fold=f1" / part) if part != step else (at / "fold=f1" / part / "_SUCCESS").unlink()
+    elif step == "part of the sweep":
+        shutil.rmtree(at / "fold=f0" / "replaces")
+        (at / "batch=2" / "_SUCCESS").unlink()
+    again = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    assert read(again) == [(2, 15)] and not again.apply("1", e(10)) and not again.apply("2", e(5))
+    again.compact("f1")
+    assert read(again) == [(2, 15)] and not again.apply("1", e(10)) and not again.apply("2", e(5))
+    again.sweep()
+    assert sorted(p.name for p in at.iterdir()) == ["fold=f1"] and read(again) == [(2, 15)]
+
+
+def test_copies_leave_one_row(spark):
+    rows = [(5, "a b c", "en", "s"), (3, "a b c", "de", "s"), (3, "a b c", "de", "s"), (None, "a b c", None, None), (None, "only", None, "s"), (None, "only", None, "s"), (7, None, "en", "t"), (6, "", "en", "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"h": F.lit(1), "n": F.lit("x"), "times": F.lit(3)})
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens, r.chars) for r in rollups.count_documents(d).collect()}
+    assert {k[:2]: v for k, v in got.items() if k[2] == "words-2"} == {("s", "de"): (1, 3, 5), ("s", None): (1, 1, 4), ("t", "en"): (1, 0, 0)}
+    assert rollups.count_documents(d.limit(0)).count() == 0
+
+
 def test_token_counts_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.QUERIES["op9_token_counts"](spark, d).collect()}
