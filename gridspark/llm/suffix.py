@@ -19,8 +19,10 @@ smaller doc_id is removed.
 
 Shuffles carry byte blobs per (block, hash bucket), not rows per position.  Equal entries
 of a block collapse before the shuffle, so a passage in a third of all documents costs one
-entry per block.  Where a trigger is met by more than ``HOT`` distinct entries, its windows
-go to buckets by their own hash instead of meeting in one task.
+entry per block.  A trigger with many distinct entries in some block (``HOT_BLOCK`` or a
+quarter of a bucket's share) sends those to buckets by the entry and only word of itself to
+its own; it is hot then, as is one met by more than ``HOT`` entries: its windows go to
+buckets by their own hash instead of meeting in one task.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; a
 null doc_id is kept whole and covers nothing; rows with one doc_id are one document of
@@ -48,6 +50,7 @@ DEPTH, WORD = 50, 20
 BLOCK = 8 << 20  # text bytes of a block before the first shuffle
 GROUP, BUCKET = 4 << 20, 16 << 20  # text bytes of a group of documents and behind a bucket of triggers
 HOT = 20_000
+HOT_BLOCK = 8  # distinct entries of one trigger in a block, at least, that make it hot
 BLOB = "bucket int, kind int, data binary"
 EMPTY = -1
 
@@ -203,6 +206,8 @@ MASK = (4, 4)  # position, windows covered (bit L: the window that starts L byte
 def entries(docs: DataFrame, buckets: np.ndarray, depth: int = DEPTH, word: int = WORD) -> DataFrame:
     """Blobs by bucket of the trigger hash: kind 0 dictionary entries, kind 1 spans covered within the block.
 
+    Kind 5 are entries of triggers that are hot in the block, by bucket of trigger and entry;
+    kind 6 names these triggers to their own buckets.
     docs: doc_id, text and the bytes that earlier rows of the doc_id hold; positions count from its first row.
     """
 
@@ -213,9 +218,16 @@ def entries(docs: DataFrame, buckets: np.ndarray, depth: int = DEPTH, word: int
         covered[o] = doc[o] > low[cls]
         keep = np.flatnonzero(~covered)
         out = []
-        for k, s in _present(bucket_of(h[keep], buckets)):
-            i = keep[s]
-            out.append((k, 0, encode(doc[i], (h[i] >> np.uint64(24), 5), (e[i], 6), (pos[i], 4))))
+        word, times = np.unique(h[keep], return_counts=True)
+        word = word[times >= max(HOT_BLOCK, len(keep) // (4 * len(buckets)))]
+        at_word = np.minimum(np.searchsorted(word, h[keep]), max(len(word) - 1, 0))
+        hot = word[at_word] == h[keep] if len(word) else np.zeros(len(keep), bool)
+        for kind, own, b in ((0, keep[~hot], h[keep[~hot]]), (5, keep[hot], C.mix(h[keep[hot]] ^ e[keep[hot]]))):
+            for k, s in _present(bucket_of(b, buckets)):
+                i = own[s]
+                out.append((k, kind, encode(doc[i], (h[i] >> np.uint64(24), 5), (e[i], 6), (pos[i], 4))))
+        for k, s in _present(bucket_of(word, buckets)):
+            out.append((k, 6, encode(np.zeros(len(s), np.int64), (word[s] >> np.uint64(24), 5))))
         i = np.flatnonzero(covered)
         if len(i):
             out.append((int(bucket_of(h[i[:1]], buckets)[0]), 1, encode(doc[i], (at[i], 4), (end[i] - at[i], 4))))
@@ -251,6 +263,14 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
         doc, h, e, pos = _stack([d for k, d in zip(kind, data, strict=True) if k == 0], ENTRY)
         sdoc, start, length = _stack([d for k, d in zip(kind, data, strict=True) if k == 1], SPAN)
         out = _deal(groups, 1, sdoc, (start, 4), (length, 4))
+        _, named = _stack([d for k, d in zip(kind, data, strict=True) if k == 6], (5,))
+        hdoc, hh, he, hpos = _stack([d for k, d in zip(kind, data, strict=True) if k == 5], ENTRY)
+        if len(hdoc):
+            o, cls, low = _smallest([hh, he], hdoc)
+            covered = hdoc[o] > low[cls]
+            out += _deal(groups, 4, hdoc[o[covered]], (hpos[o[covered]], 4))
+            i = o[~covered]
+            out += _deal(groups, 0, hdoc[i], (hpos[i], 4), (np.ones(len(i), np.uint64), 1))
         if len(doc):
             o, cls, low = _smallest([h, e], doc)
             d, hs, p = doc[o], h[o], pos[o]
@@ -264,9 +284,10 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
             hi = np.full(len(n), np.iinfo(np.int64).min)
             np.minimum.at(lo, word[first], d[first])
             np.maximum.at(hi, word[first], d[first])
-            ask = ~covered & ((n > 1) & (lo < hi))[word]
+            hot = (n > HOT) | np.isin(hs[new_h], named)
+            ask = ~covered & (hot | ((n > 1) & (lo < hi)))[word]
             i = np.flatnonzero(ask)
-            out += _deal(groups, 0, d[i], (p[i], 4), ((n[word[i]] > HOT).astype(np.uint64), 1))
+            out += _deal(groups, 0, d[i], (p[i], 4), (hot[word[i]].astype(np.uint64), 1))
             i = np.flatnonzero(covered)
             out += _deal(groups, 4, d[i], (p[i], 4))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])

@@ -250,9 +250,12 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "in_block"), [(20_000, 8), (2, 1000), (20_000, 2)])
+def test_suffix_dedup_is_exact(spark, monkeypatch, hot, in_block):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HOT_BLOCK", in_block)
+    if in_block == 2:
+        monkeypatch.setattr(suffix, "BUCKET", 1000)
     rng = random.Random(9)
     shared = [prose(rng, 25) for _ in range(4)]
     rows = [*corpus(), *[(1000 + k, prose(rng, rng.randint(0, 20)) + rng.choice(shared)[: rng.randint(40, 90)] + prose(rng, 5)) for k in range(60)], (5000, "a" * 400), (5001, "b" + "a" * 120), (5002, "é" * 60), (5003, "xé" * 3 + "é" * 50)]
