@@ -155,6 +155,11 @@ class _Planar:
     dy: float
     radius: float = 6_371_229.0
 
+    @property
+    def usable(self) -> bool:
+        """Whether the grid has spacings (and a cone) to divide by; else nothing lies on it."""
+        return self.dx != 0 and self.dy != 0
+
     def _cells(self, x: Column, y: Column, ok: Column) -> Pair:
         x0, y0 = self.origin
         i = snap((x - x0) / self.dx, 0.0, self.ni - 1.0)
@@ -163,10 +168,14 @@ class _Planar:
         return _null_unless(ok, i, j)
 
     def index(self, lat: Column, lon: Column) -> Pair:
+        if not self.usable:
+            return F.lit(None).cast("double"), F.lit(None).cast("double")
         x, y = self.xy(lat, lon)
         return self._cells(x, y, finite(lat) & finite(lon) & self.visible(lat))
 
     def point(self, i: Column, j: Column) -> Pair:
+        if not self.usable:
+            return F.lit(None).cast("double"), F.lit(None).cast("double")
         x0, y0 = self.origin
         return self.lonlat(x0 + i * self.dx, y0 + j * self.dy)
 
@@ -180,6 +189,10 @@ class Lambert(_Planar):
     latin1: float = 30.0
     latin2: float = 60.0
 
+    @property
+    def usable(self) -> bool:
+        return super().usable and abs(self.latin1 + self.latin2) > 1e-9 and max(abs(self.latin1), abs(self.latin2), abs(self.lad)) < 90
+
     @property
     def constants(self) -> tuple[float, float, float]:
         """(n, r*F, rho0) of the conic."""
@@ -306,6 +319,8 @@ class Geostationary:
         return (F.asin(-sy / norm), F.atan(sz / sx), seen) if self.sweep_x else (F.atan(-sy / sx), F.asin(sz / norm), seen)
 
     def index(self, lat: Column, lon: Column) -> Pair:
+        if not self.dx or not self.dy:
+            return F.lit(None).cast("double"), F.lit(None).cast("double")
         x, y, seen = self.scan(lat, lon)
         i, j = (x - self.x0) / self.dx, (y - self.y0) / self.dy
         return _null_unless(finite(lat) & finite(lon) & seen & i.between(0, self.ni - 1) & j.between(0, self.nj - 1), i, j)

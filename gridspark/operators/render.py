@@ -38,27 +38,41 @@ def _cell(grid, fi: Column, fj: Column) -> tuple[Column, Column]:
 def warp(field: DataFrame, grid, target, method: str = "nearest", flip: bool = False) -> DataFrame:
     """(px, py, lat, lon, value): inverse warp of long rows (j, i, value) onto a target's raster.
 
-    Nearest is one equi-join of pixels with cells.  Bilinear joins four corners per pixel and
-    adds them up per pixel; a missing corner makes the pixel missing even at weight 0.
+    One equi-join of pixels with cells.  For bilinear a cell first meets its three neighbours
+    (joins of the field's size), so a pixel still joins once; a missing corner makes the
+    pixel missing even at weight 0.  Pixels off the map or the grid get keys of their own that
+    no cell has, so they spread over all tasks.
     """
     if method not in METHODS:
         raise ValueError(f"unknown resampling {method!r}; known: {', '.join(METHODS)}")
     p = located(field.sparkSession, grid, target, flip)
     cells = field.select("j", "i", "value")
+    off = {"i": -1 - F.col("px"), "j": -1 - F.col("py")}
     if method == "nearest":
         i, j = _cell(grid, F.col("fi"), F.col("fj"))
-        return p.withColumns({"i": i, "j": j}).join(cells, ["j", "i"], "left").select("px", "py", "lat", "lon", "value")
+        keyed = p.withColumns({"i": F.coalesce(i, off["i"]), "j": F.coalesce(j, off["j"])})
+        return keyed.join(cells, ["j", "i"], "left").select("px", "py", "lat", "lon", "value")
+    i, j = F.floor("fi"), F.floor("fj")
+    tx, ty = F.col("fi") - i, F.col("fj") - j
+    i = F.pmod(i, F.lit(grid.ni)) if getattr(grid, "periodic", False) else i
+    keyed = p.withColumns({"tx": tx, "ty": ty, "i": F.coalesce(i.cast("int"), off["i"]), "j": F.coalesce(j.cast("int"), off["j"])})
+    x, y = F.col("tx"), F.col("ty")
+    value = (1 - x) * (1 - y) * F.col("v00") + x * (1 - y) * F.col("v10") + (1 - x) * y * F.col("v01") + x * y * F.col("v11")
+    return keyed.join(_corners(cells, grid), ["j", "i"], "left").select("px", "py", "lat", "lon", value.alias("value"))
+
+
+def _corners(cells: DataFrame, grid) -> DataFrame:
+    """(j, i, v00, v10, v01, v11): each cell with its neighbours to the right, below and across; the last stand for themselves."""
     ni, nj, wraps = grid.ni, grid.nj, getattr(grid, "periodic", False)
-    i0, j0 = F.floor("fi"), F.floor("fj")
-    tx, ty = F.col("fi") - i0, F.col("fj") - j0
-    i0 = F.pmod(i0, F.lit(ni)) if wraps else i0
-    i1 = F.pmod(i0 + 1, F.lit(ni)) if wraps else F.least(i0 + 1, F.lit(ni - 1))
-    j1 = F.least(j0 + 1, F.lit(nj - 1))
-    corner = lambda i, j, wgt: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), wgt.alias("wgt"))
-    four = F.array(corner(i0, j0, (1 - tx) * (1 - ty)), corner(i1, j0, tx * (1 - ty)), corner(i0, j1, (1 - tx) * ty), corner(i1, j1, tx * ty))
-    hit = p.where("fi is not null and fj is not null").select("px", "py", F.explode(four).alias("c")).select("px", "py", "c.i", "c.j", "c.wgt")
-    hit = hit.join(cells, ["j", "i"], "left").groupBy("px", "py").agg(F.when(F.count("value") == 4, F.sum(F.col("wgt") * F.col("value"))).alias("value"))
-    return p.select("px", "py", "lat", "lon").join(hit, ["px", "py"], "left")
+    left = F.col("i") - 1
+    right = cells.select("j", (F.pmod(left, F.lit(ni)) if wraps else left).alias("i"), F.col("value").alias("v10"))
+    two = cells.withColumnRenamed("value", "v00").join(right, ["j", "i"], "left")
+    if not wraps:
+        two = two.withColumn("v10", F.when(F.col("i") == ni - 1, F.col("v00")).otherwise(F.col("v10")))
+    below = two.select((F.col("j") - 1).alias("j"), "i", F.col("v00").alias("v01"), F.col("v10").alias("v11"))
+    last = F.col("j") == nj - 1
+    own = lambda c, d: F.when(last, F.col(d)).otherwise(F.col(c)).alias(c)
+    return two.join(below, ["j", "i"], "left").select("j", "i", "v00", "v10", own("v01", "v00"), own("v11", "v10"))
 
 
 def position(v: Column, lo: Column, hi: Column, scale: str = "linear") -> Column:
@@ -138,7 +152,7 @@ def nice_levels(lo: float, hi: float, count: int = 8) -> list[float]:
 
 
 def interval_levels(lo: float, hi: float, step: float, most: int = 2001) -> list[float]:
-    """Multiples of step strictly inside (lo, hi), at most 2001 of them (the reference's stop)."""
+    """Multiples of step strictly inside (lo, hi), at most ``most`` of them."""
     if step <= 0 or not math.isfinite(step) or hi <= lo:
         return []
     first = math.ceil(lo / step) * step
@@ -273,8 +287,8 @@ def synthesize(coeffs: DataFrame, truncation: int, lats: list[float], lons: list
     """(j, i, value) of spherical-harmonic coefficients (m, n, re, im) on lats x lons.
 
     Fully normalised Legendre functions are computed per latitude in Arrow batches of
-    latitudes (vectorised over m); the coefficients of one message are at most (T+1)(T+2)/2
-    numbers with T <= 10,000 and travel by broadcast.
+    latitudes, all orders m of a degree n at once; the coefficients of one message are at
+    most (T+1)(T+2)/2 numbers with T <= 10,000 and travel by broadcast.
     """
     import numpy as np
     import pyarrow as pa
@@ -290,24 +304,26 @@ def synthesize(coeffs: DataFrame, truncation: int, lats: list[float], lons: list
 
     def run(batches):
         coef, la, lo = held.value
-        m = np.arange(t + 1)
+        m = np.arange(t + 1, dtype=np.float64)
         wave = np.exp(1j * np.outer(m, np.deg2rad(lo)))
         twice = np.where(m == 0, 1.0, 2.0)
         for b in batches:
             for j in b.column(0).to_pylist():
                 mu = np.sin(np.deg2rad(la[j]))
-                s = np.sqrt(max(0.0, 1 - mu * mu))
+                down = np.sqrt(max(0.0, 1 - mu * mu))
                 total = np.zeros(t + 1, complex)
-                diag = 1.0
-                for k in range(t + 1):  # order m = k: three-term recurrence in n
-                    p, q = diag, 0.0
-                    total[k] += coef[k, k] * p
-                    for n in range(k + 1, t + 1):
-                        a = np.sqrt((2 * n + 1) * (2 * n - 1) / ((n - k) * (n + k)))
-                        e = np.sqrt((2 * n + 1) * (n + k - 1) * (n - k - 1) / ((2 * n - 3) * (n - k) * (n + k))) if n > k + 1 else 0.0
-                        p, q = a * mu * p - e * q, p
-                        total[k] += coef[k, n] * p
-                    diag *= s * np.sqrt((2 * k + 3) / (2 * k + 2))
+                p, q = np.zeros(t + 1), np.zeros(t + 1)  # degrees n - 1 and n - 2 of each order
+                top = 1.0  # of order n and degree n
+                for n in range(t + 1):
+                    k = m[:n]
+                    a = np.sqrt((2 * n + 1) * (2 * n - 1) / ((n - k) * (n + k)))
+                    e = np.sqrt(np.maximum((2 * n + 1) * (n + k - 1) * (n - k - 1) / (max(2 * n - 3, 1) * (n - k) * (n + k)), 0))
+                    new = np.zeros(t + 1)
+                    new[:n] = a * mu * p[:n] - e * q[:n]
+                    new[n] = top
+                    total[: n + 1] += coef[: n + 1, n] * new[: n + 1]
+                    p, q = new, p
+                    top *= down * np.sqrt((2 * n + 3) / (2 * n + 2))
                 v = ((total * twice)[:, None] * wave).real.sum(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["j", "i", "value"])
 
@@ -351,19 +367,22 @@ def png_images(painted: DataFrame, w: int, h: int, *keys: str) -> DataFrame:
 
     from ..codec import png
 
-    four = F.unhex(F.format_string("%02X%02X%02X%02X", "r", "g", "b", "a"))
+    four = F.format_string("%02X%02X%02X%02X", "r", "g", "b", "a")
     rows = painted.withColumn("_c", four).groupBy(*keys, "py").agg(F.array_sort(F.collect_list(F.struct("px", "_c"))).alias("_p"))
-    rows = rows.groupBy(*keys).agg(F.collect_list(F.struct("py", "_p")).alias("_r"))
+    rows = rows.select(*keys, "py", F.transform("_p", lambda x: x["px"]).alias("_x"), F.unhex(F.array_join(F.transform("_p", lambda x: x["_c"]), "")).alias("_c"))
+    rows = rows.groupBy(*keys).agg(F.collect_list(F.struct("py", "_x", "_c")).alias("_r"))
     schema = rows.select(*keys).schema.add("png", "binary")
 
     def run(batches):
         for b in batches:
             out = []
-            for picture in b.column(b.num_columns - 1).to_pylist():
+            pictures = b.column(b.num_columns - 1)
+            for k in range(b.num_rows):
                 grid = np.zeros((h, w, 4), np.uint8)
-                for row in picture:
-                    for c in row["_p"]:
-                        grid[row["py"], c["px"]] = np.frombuffer(c["_c"], np.uint8)
+                own = pictures.slice(k, 1).flatten()
+                py, px, colours = (own.field(c) for c in range(3))
+                for r in range(len(own)):
+                    grid[py[r].as_py(), px[r].values.to_numpy()] = np.frombuffer(colours[r].as_buffer(), np.uint8).reshape(-1, 4)
                 out.append(png.encode(grid.reshape(h, 4 * w), 8, 6))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], schema.names)
 

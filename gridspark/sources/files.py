@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+BROKEN = (FormatError, IndexError, ValueError, KeyError, OverflowError, struct.error, zlib.error)  # what bytes that are no such file lead to
+
+
+def _told(e: Exception) -> str:
+    return str(e) or type(e).__name__
+
+
 def _messages(data: bytes):
+    """(codec, messages) of a GRIB file; an error where its bytes hold no whole message."""
     kind = 2 if data[:4] == b"GRIB" and len(data) > 7 and data[7] == 2 else 1
-    return (grib2 if kind == 2 else grib1), list((grib2 if kind == 2 else grib1).messages(data))
+    codec = grib2 if kind == 2 else grib1
+    found = list(codec.messages(data))
+    if not found:
+        raise FormatError("no whole message" if b"GRIB" in data else "no GRIB file")
+    return codec, found
 
 
 def _rows(cols: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -77,8 +91,8 @@ def catalog(files: DataFrame) -> DataFrame:
                         p = f"{m['discipline']}/{m.get('category')}/{m.get('number')}" if m["edition"] == 2 else str(m["parameter"])
                         plain = {k: v for k, v in m.items() if not isinstance(v, (bytes, tuple))}
                         rows.append((path, m["message_index"], m["edition"], m["byte_offset"], m["byte_length"], g["grid_type"], g.get("ni"), g.get("nj"), *[g.get(k) for k in ("lat_first", "lon_first", "lat_last", "lon_last")], m["packing"], m["centre"], p, m.get("surface_type", m.get("level_type")), m["reference_time"], json.dumps(plain), None))
-                except (FormatError, IndexError) as e:
-                    rows.append((path, *[None] * 16, "{}", str(e) or type(e).__name__))
+                except BROKEN as e:
+                    rows.append((path, *[None] * 16, "{}", _told(e)))
             yield _rows(kinds, rows)
 
     return files.select("path", "content").mapInArrow(run, CATALOG)
@@ -91,7 +105,11 @@ def fields(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codec, found = _messages(data)
+                try:
+                    codec, found = _messages(data)
+                except BROKEN as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((path, *[None] * 6, _told(e)), kinds, strict=True)], [k for k, _ in kinds])
+                    continue
                 for m in found:
                     g, values, error = m["grid"], None, None
                     ni = g.get("ni")
@@ -100,8 +118,8 @@ def fields(files: DataFrame) -> DataFrame:
                         if "pl" in g:
                             v, ni = grib1.expand_reduced(v, g["pl"]), max(g["pl"])
                         values = pa.array(np.ma.getdata(v).astype(np.float64), mask=np.ma.getmaskarray(v))
-                    except (FormatError, IndexError) as e:
-                        error = str(e) or type(e).__name__
+                    except BROKEN as e:
+                        error = _told(e)
                     one = _rows([k for k in kinds if k[0] != "values"], [(path, m["message_index"], m["edition"], g["grid_type"], ni, g.get("nj"), error)])
                     off = pa.array([0, len(values)] if values is not None else [None, 0], pa.int32())
                     lists = pa.ListArray.from_arrays(off, values if values is not None else pa.array([], pa.float64()))
@@ -110,13 +128,26 @@ def fields(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FIELD)
 
 
+def message(fields: DataFrame, index: int) -> DataFrame:
+    """The row of one message of one file, by its place in it; an error row where there is none of that place."""
+    files = fields.groupBy("path").agg(F.max("message_index").alias("_last"), F.first("error", ignorenulls=True).alias("_error"))
+    own = fields.where(F.col("message_index") == index)
+    gone = files.where(F.col("_last").isNull() | (F.col("_last") < index) | F.lit(index < 0))
+    absent = F.when(F.col("_last").isNull(), F.col("_error")).otherwise(F.format_string(f"no message {index}: the file has %d", F.col("_last") + 1))
+    blank = [absent.alias(c) if c == "error" else F.col("path") if c == "path" else F.lit(None).cast(t).alias(c) for c, t in fields.dtypes]
+    return own.unionByName(gone.select(*blank))
+
+
 def coefficients(files: DataFrame) -> DataFrame:
-    """Spherical-harmonic coefficients of spectral messages."""
+    """Spherical-harmonic coefficients of spectral messages; files that cannot be read give none (``fields`` says why)."""
 
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codec, found = _messages(data)
+                try:
+                    codec, found = _messages(data)
+                except BROKEN:
+                    continue
                 for m in found:
                     if m["grid"]["grid_type"] == "spherical_harmonic":
                         rows = [(path, m["message_index"], *c) for c in codec.coefficients(m, data)]
@@ -143,21 +174,27 @@ def variables(files: DataFrame) -> DataFrame:
                 try:
                     found = hdf5.variables(data) if data[:4] == b"\x89HDF" else [(v.name, v.type, v.dims, v.shape, v.attrs) for v in netcdf3.header(data).variables]
                     rows += [(path, n, t, d, s, k, [(a, shown(x)) for a, x in at.items()], None) for k, (n, t, d, s, at) in enumerate(found)]
-                except (FormatError, IndexError) as e:
-                    rows.append((path, None, None, None, None, None, None, str(e) or type(e).__name__))
+                except BROKEN as e:
+                    rows.append((path, None, None, None, None, None, None, _told(e)))
             yield _rows([("path", pa.string()), ("name", pa.string()), ("type", pa.string()), ("dims", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("decode_index", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("error", pa.string())], rows)
 
     return files.select("path", "content").mapInArrow(run, VARIABLES)
 
 
 def variable_values(files: DataFrame, name: str) -> DataFrame:
-    """(path, idx array, value): a variable in long form, NULL where missing, in slabs of its first dimension."""
+    """(path, idx array, value): a variable in long form, NULL where missing, in slabs of its first dimension.
+
+    A file that cannot be read, or lacks the variable, gives no row; ``variables`` says why.
+    """
     schema = "path string, idx array<int>, value double"
 
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = hdf5.values(data, name) if data[:4] == b"\x89HDF" else netcdf3.values(data, netcdf3.header(data), name)
+                try:
+                    v = hdf5.values(data, name) if data[:4] == b"\x89HDF" else netcdf3.values(data, netcdf3.header(data), name)
+                except BROKEN:
+                    continue
                 for k in range(len(v)) if v.ndim else []:
                     slab = np.atleast_1d(v[k])
                     at = np.stack([np.full(slab.size, k), *np.unravel_index(np.arange(slab.size), slab.shape)][: v.ndim]).T
