@@ -41,6 +41,34 @@ def simple2(x: np.ndarray, ni: int, nj: int, r: float = -1.0, e: int = -10, d: i
     return grib2(ni, nj, 0, red(r, e, d, bits) + b"\0", pack(x, bits), bitmap, len(x))
 
 
+def ieee2(v: np.ndarray, ni: int, nj: int, double: bool = False) -> bytes:
+    """5.4: values as they are."""
+    return grib2(ni, nj, 4, bytes([2 if double else 1]), np.asarray(v, ">f8" if double else ">f4").tobytes(), None, len(v))
+
+
+def log2(v: np.ndarray, ni: int, nj: int, offset: float = 2.0, e: int = -28, bits: int = 30) -> bytes:
+    """5.61: the logarithm of the values, moved above zero by an offset."""
+    w = np.log(np.asarray(v, np.float64) + np.float64(np.float32(offset)))
+    r = np.float64(np.float32(w.min() - 1e-6))
+    x = np.floor((w - r) / 2.0**e + 0.5).astype(np.int64)
+    return grib2(ni, nj, 61, red(float(r), e, 0, bits) + struct.pack(">f", offset), pack(x, bits), None, len(x))
+
+
+def png2(x: np.ndarray, ni: int, nj: int, r: float = -1.0, e: int = -10, bits: int = 16) -> bytes:
+    """5.41: the packed integers as a gray picture."""
+    from . import png
+
+    gray = np.asarray(x, ">u2").reshape(nj, ni).view(np.uint8)
+    return grib2(ni, nj, 41, red(r, e, 0, bits) + b"\0", png.encode(gray, bits, 0), None, ni * nj)
+
+
+def alternate2(x: np.ndarray, ni: int, nj: int, r: float = -1.0, e: int = -10, bits: int = 12) -> bytes:
+    """Simple packing with every odd row stored backwards (scan flag 0x10)."""
+    g = np.asarray(x).reshape(nj, ni).copy()
+    g[1::2] = g[1::2, ::-1]
+    return grib2(ni, nj, 0, red(r, e, 0, bits) + b"\0", pack(g.ravel(), bits), None, ni * nj, latlon2(ni, nj, scan=0x10))
+
+
 def complex2(x: np.ndarray, ni: int, nj: int, order: int = 0, size: int = 16, r: float = -1.0, e: int = -10, d: int = 0) -> bytes:
     """Complex packing in groups of ``size`` (5.2) or with spatial differencing of order 1 or 2 (5.3)."""
     x = np.asarray(x, np.int64)
@@ -129,6 +157,11 @@ def simple1(x, ni: int, nj: int, r: float = -1.0, e: int = -10, d: int = 0, bits
     return grib1(ni, nj, bds(0, e, r, bits, pack(x, bits)), d, bitmap)
 
 
+def ieee1(v, ni: int, nj: int) -> bytes:
+    """Edition 1 values as 32-bit IEEE numbers (flags 0x30)."""
+    return grib1(ni, nj, bds(0x30, 0, 0.0, 32, np.asarray(v, ">f4").tobytes()))
+
+
 def second_order1(x, ni: int, nj: int, order: int = 1, size: int = 16, r: float = -1.0, e: int = -10, d: int = 0) -> bytes:
     """General extended second-order packing with spatial differencing of order 0 to 3."""
     x = np.asarray(x, np.int64)

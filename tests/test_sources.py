@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.codec import grib1, grib2, synth
+from gridspark.codec.bits import FormatError
 from gridspark.functions import geodesy as G
 from gridspark.operators import render as R
 from gridspark.sources import files, grids, layers
+from gridspark.sources import files as S
 
 
 def test_vector_layer(spark, tmp_path):
@@ -117,3 +119,45 @@ def test_slices_find_their_grids(spark, tmp_path):
     assert (far.y0, far.dy, far.dx) == pytest.approx((3e-3, -1e-3, 1e-3)) and far.height == 35786023.0 + 6378137.0
     with pytest.raises(ValueError):
         grids.slice_field(one("plain"), "v", "lat", "lon", {})
+
+
+def test_broken_files_give_error_rows(spark):
+    whole = synth.simple2(np.arange(64), 8, 8)
+    rows = [("cut", whole[:-9]), ("none", b"plain"), ("empty", b""), ("nc", b"CDF\x01broken"), ("h5", b"\x89HDF\r\n\x1a\nbroken"), ("whole", whole)]
+    f = spark.createDataFrame(rows, "path string, content binary")
+    for out in (S.catalog(f), S.fields(f)):
+        got = {r.path: r.error for r in out.collect()}
+        assert got["whole"] is None and all(got[k] for k, _ in rows[:-1])
+    v = f.where("path in ('nc', 'h5', 'none')")
+    assert all(r.error for r in S.variables(v).collect()) and S.variable_values(v, "t").count() == 0
+    assert S.coefficients(f).count() == 0
+    picked = {r.path: (r.ni, r.error) for r in S.message(S.fields(f), 0).collect()}
+    assert picked["whole"] == (8, None) and picked["cut"][1] and S.message(S.fields(f), -1).where("error is null").count() == 0
+
+
+def test_views_say_what_cannot_be_shown(spark):
+    from gridspark.operators import views as V
+
+    one = spark.createDataFrame([("a", synth.simple2(np.arange(64), 8, 8))], "path string, content binary")
+    f, grid = V.resolve(one, 0)
+    assert (grid.ni, grid.nj) == (8, 8) and f.count() == 64
+    with pytest.raises(FormatError, match="no message 3"):
+        V.resolve(one, 3)
+    with pytest.raises(ValueError, match="name a message"):
+        V.resolve(one)
+    with pytest.raises(ValueError, match="same grid"):
+        V.combined((f, grid), (f, G.LatLon(8, 8, 1.0, 2.0, 3.0, 4.0)), "mean")
+    with pytest.raises(ValueError, match="cannot be warped"):
+        V.picture((f, grids.Source(8, 8)), "robinson")
+    assert V.picture(V.combined((f, grid), (f, grid), "ratio")).count() == 64
+
+
+@pytest.mark.parametrize("grid", ["lambert", "cone", "polar", "space"])
+def test_degenerate_grids_hold_nothing(spark, grid):
+    g = {
+        "lambert": G.Lambert(5, 5, 10.0, 0.0, 0.0, 0.0, 1000.0, 6_371_229.0, 20.0, 30.0, 60.0), "cone": G.Lambert(5, 5, 10.0, 0.0, 0.0, 1000.0, 1000.0, 6_371_229.0, 20.0, 30.0, -30.0),
+        "polar": G.PolarStereo(5, 5, 60.0, 0.0, 0.0, 1000.0, 0.0, 6_371_229.0, 60.0, False), "space": G.Geostationary(5, 5, 42_164_160.0, 6_378_137.0, 6_356_752.3, 0.0, True, -0.1, 0.0, 0.1, -0.01),
+    }[grid]
+    d = spark.createDataFrame([(45.0, 10.0), (0.0, 0.0)], "lat double, lon double")
+    i, j = g.index(d.lat, d.lon)
+    assert d.select(i.alias("i"), j.alias("j")).where("i is not null or j is not null").count() == 0
