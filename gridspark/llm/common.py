@@ -7,6 +7,7 @@ the folder named by ``spark.checkpoint.dir`` (shared by driver and executors).
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,12 +94,12 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def labels(spark: SparkSession, n: int) -> np.ndarray:
-    """n distinct ints that a shuffle on them deals evenly to its partitions.
+def labels(spark: SparkSession, n: int, k: int | None = None) -> np.ndarray:
+    """n distinct ints that a shuffle on them deals evenly to its k partitions (those of the session).
 
     A hash deals a few buckets unevenly; where there are many to a partition any ints do.
     """
-    k = parts(spark)
+    k = k or parts(spark)
     if n > 8 * k:
         return np.arange(n, dtype=np.int32)
     at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(k))
@@ -107,6 +108,17 @@ def labels(spark: SparkSession, n: int) -> np.ndarray:
     return np.array([r.id for r in rows.orderBy("r", "p").limit(n).collect()], np.int32)
 
 
+def below(edges: list, key: F.Column, strict: bool = False) -> F.Column:
+    """How many of the sorted edges are at or below the key (strict: below): a search in two steps."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(edges)))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    under = lambda a: F.size(F.filter(a, lambda e: e < key if strict else e <= key))
+    g = F.greatest(under(F.array(*[F.lit(x[0]) for x in groups])), F.lit(1)) - 1
+    return (g * step + under(F.get(F.array(*[F.array(*[F.lit(e) for e in x]) for x in groups]), g))).cast("int")
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of a scan (file bytes for Parquet)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

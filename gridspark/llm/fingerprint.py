@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SIZE = 128
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000  # text of a range, unless that made more ranges than these
 
 
 class Parse:
@@ -124,15 +125,11 @@ def compare_with_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     spark = docs.sparkSession
     d = C.columns_of(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = C.parts(spark, 12)
+    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = min(max(C.parts(spark, 12), total // RANGE_BYTES), MOST_RANGES)
     edges = d.select("k").agg(F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, n)]), 10000)).first()[0]
     edges = sorted(set(edges or []))  # at most n ids
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col("k") > F.lit(e)).cast("int")
-    if len(edges) > 400:  # a long sum is slow to compile; look the range up instead
-        arr = F.array(*[F.lit(e) for e in edges])
-        part = F.size(F.filter(arr, lambda e: e < F.col("k")))
+    part = C.below(edges, F.col("k"), strict=True)
     first = {r.p: r.k for r in d.select(part.alias("p"), "k").groupBy("p").agg(F.min("k").alias("k")).collect()}  # one row per range
     if not first:
         return spark.createDataFrame([], OUT)
@@ -141,7 +138,10 @@ def compare_with_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     extra = F.create_map(*[F.lit(v) for kv in before.items() for v in kv])[F.col("k")]
     dealt = d.withColumn("p", part).withColumn("q", F.explode(F.array_compact(F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("guest")), F.when(extra.isNotNull(), F.struct(extra.alias("p"), F.lit(1).alias("guest")))))))
     dealt = dealt.select("q.p", "q.guest", "k", "doc_id", "text")
-    dealt = dealt.repartition(max(len(full), 1), "p").sortWithinPartitions("p", "guest", "k", "text")
+    ranges = max(full) + 1
+    own = C.labels(spark, ranges, ranges).tolist()  # a range to each task; a plain hash would give some several
+    dealt = dealt.withColumn("p", F.get(F.expr(f"array({', '.join(map(str, own))})"), F.col("p")))
+    dealt = dealt.repartition(ranges, "p").sortWithinPartitions("p", "guest", "k", "text")
 
     def run(batches):
         held = None  # the row that waits for its next

@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import html as H
 import itertools
-import math
 import pickle
 import re
 import tempfile
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000  # html of a range, unless that made more ranges than these
 REACH = 3  # neighbours looked at on either side before the carried one
 EDITED = 8  # words from which two rests can be one text with edits
 # HTML element names by role.
@@ -378,17 +378,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
 
 
-def _below(edges: list[str], key: F.Column) -> F.Column:
-    """How many of the sorted edges are at or below the key: a search in two steps."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(edges)))
-    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
-    under = lambda a: F.size(F.filter(a, lambda e: e <= key))
-    g = F.greatest(under(F.array(*[F.lit(x[0]) for x in groups])), F.lit(1)) - 1
-    return (g * step + under(F.get(F.array(*[F.array(*[F.lit(e) for e in x]) for x in groups]), g))).cast("int")
-
-
 def _guests(found: dict[int, dict], reach: int) -> dict[str, list[int]]:
     """Key of a page -> ranges it visits; found: for each range its first and last pages and its nearest unlike ones.
 
@@ -422,12 +411,14 @@ def extract_pages(pages: DataFrame, reach: int = REACH, least: int = 64) -> Data
     ``reach`` pages on either side and, where these are copies, the nearest page that is
     none.  Each range also gets the nearest pages of the adjoining ones as guests.
     """
-    n = max(1, min(C.parts(pages.sparkSession, 12), pages.count() // least))
+    spark = pages.sparkSession
+    whole = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("b")).first()
+    n = max(1, min(max(C.parts(spark, 12), (whole.b or 0) // RANGE_BYTES), whole.n // least, MOST_RANGES))
     p = C.columns_of(pages, "page_id", "url", "html").withColumn("key", F.coalesce(order_key(F.col("url")), F.lit("")))
     p = p.withColumn("at", F.concat("key", F.lit("\u0001"), F.coalesce(F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lit(""))))
     sample = sorted(r.at for r in p.select("at").orderBy(F.xxhash64("at")).limit(20 * n).collect()) if n > 1 else []
     edges = sorted({sample[len(sample) * k // n] for k in range(1, n)} if sample else set())  # fewer than n keys
-    p = p.withColumn("p", _below(edges, F.col("at")))
+    p = p.withColumn("p", C.below(edges, F.col("at")))
     if edges:
         host = F.substring_index("at", "\u0001", 1)
         one = F.array_sort(F.collect_list(F.struct("at", host.alias("host"), F.xxhash64("html").alias("h"))))
@@ -435,13 +426,16 @@ def extract_pages(pages: DataFrame, reach: int = REACH, least: int = 64) -> Data
         first, last = F.get("x", F.lit(0)), F.element_at("x", -1)
         x = p.groupBy("p").agg(one.alias("x")).select("p", F.slice("x", 1, reach).alias("firsts"), F.slice(F.reverse("x"), 1, reach).alias("lasts"), F.get(unlike(first), F.lit(0)).alias("unlike_first"), F.try_element_at(unlike(last), F.lit(-1)).alias("unlike_last"))
         visits = _guests({r.p: r.asDict() for r in x.collect()}, reach)  # a few keys a range
-        g = p.sparkSession.createDataFrame(list(visits.items()) or [("", [])], "at string, to array<int>")
+        g = spark.createDataFrame(list(visits.items()) or [("", [])], "at string, to array<int>")
         p = p.join(F.broadcast(g), "at", "left")
     else:
         p = p.withColumn("to", F.lit(None).cast("array<int>"))
     goes = F.concat(F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("guest"))), F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda t: F.struct(t.alias("p"), F.lit(1).alias("guest"))))
     p = p.select("page_id", "url", "html", "key", "at", F.explode(goes).alias("q")).select("page_id", "url", "html", "key", "q.guest", "q.p", "at")
-    p = p.repartition(len(edges) + 1, "p").sortWithinPartitions("p", "at")
+    ranges = len(edges) + 1
+    own = C.labels(spark, ranges, ranges).tolist()  # a range to each task; a plain hash would give some several
+    p = p.withColumn("p", F.get(F.expr(f"array({', '.join(map(str, own))})"), F.col("p")))
+    p = p.repartition(ranges, "p").sortWithinPartitions("p", "at")
 
     def run(batches):
         def rows():
