@@ -64,8 +64,33 @@ query("r01_warp_mollweide", _warp_sql(
 query("r01_warp_web_mercator", _warp_sql(
     f"SELECT px, py, (2 * atan(exp(uy * ln(tan(pi() / 4 + 80 * {D} / 2)))) - pi() / 2) / {D} AS lat, 180 * ux AS lon FROM px", 80, 70))(
     lambda spark, d: _warped(spark, d, G.WebMercator(80, 70, -80.0, 80.0, -180.0, 180.0)))
-query("r01_warp_robinson")(lambda spark, d: _warped(spark, d, G.Robinson(118, 60, 0.0)))
-query("r01_warp_equal_earth")(lambda spark, d: _warped(spark, d, G.EqualEarth(123, 60, 0.0)))
+_robin = ", ".join(f"({k}, {', '.join(repr(float(v)) + '::DOUBLE' for v in (*x, *y))})" for k, (x, y) in enumerate(zip(G.natural_spline(G.ROBINSON_X), G.natural_spline(G.ROBINSON_Y), strict=True)))
+SPLINE = f"sp(k, ax, bx, cx, dx, ay, by_, cy, dy) AS (VALUES {_robin})"
+#: The latitude of each row by bisection on the spline cell that holds its ordinate.
+ROBINSON = f"""
+  WITH RECURSIVE {SPLINE}, halves(uy, k, lo, hi, n) AS (
+    SELECT uy, least(max(k), 17), 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM (SELECT DISTINCT uy FROM px) JOIN sp ON ay <= abs(uy) GROUP BY uy
+    UNION ALL
+    SELECT uy, k, CASE WHEN y > abs(uy) THEN lo ELSE t END, CASE WHEN y > abs(uy) THEN t ELSE hi END, n + 1
+    FROM (SELECT h.*, (lo + hi) / 2 AS t, ay + (lo + hi) / 2 * (by_ + (lo + hi) / 2 * (cy + (lo + hi) / 2 * dy)) AS y FROM halves h JOIN sp USING (k)) WHERE n < 60
+  ), line AS (
+    SELECT uy, sign(uy) * 5 * (k + t) AS lat, ax + t * (bx + t * (cx + t * dx)) AS half FROM (SELECT *, (lo + hi) / 2 AS t FROM halves WHERE n = 60) JOIN sp USING (k)
+  )
+  SELECT px, py, CASE WHEN abs(ux) <= half THEN lat END AS lat, CASE WHEN abs(ux) <= half THEN 180 * ux / half END AS lon FROM px JOIN line USING (uy)"""
+_fy = "({0} * (1.340264 - 0.081106 * {0} * {0} + pow({0}, 6) * (0.000893 + 0.003796 * {0} * {0})))".format
+_dfy = "(1.340264 - 3 * 0.081106 * {0} * {0} + pow({0}, 6) * (7 * 0.000893 + 9 * 0.003796 * {0} * {0}))".format
+#: The parametric latitude of each row by Newton's steps.
+EQUAL_EARTH = f"""
+  WITH RECURSIVE steps(uy, t, n) AS (
+    SELECT DISTINCT uy, uy * {_fy("(pi() / 3)")}, 0 FROM px
+    UNION ALL
+    SELECT uy, t - ({_fy("t")} - uy * {_fy("(pi() / 3)")}) / {_dfy("t")}, n + 1 FROM steps WHERE n < 12
+  ), line AS (
+    SELECT uy, asin(greatest(-1, least(1, sin(t) / (sqrt(3) / 2)))) / {D} AS lat, pi() / 1.340264 * {_dfy("t")} / cos(t) AS most FROM steps WHERE n = 12
+  )
+  SELECT px, py, CASE WHEN abs(ux * most) <= pi() THEN lat END AS lat, CASE WHEN abs(ux * most) <= pi() THEN ux * most / {D} END AS lon FROM px JOIN line USING (uy)"""
+query("r01_warp_robinson", _warp_sql(ROBINSON, 118, 60))(lambda spark, d: _warped(spark, d, G.Robinson(118, 60, 0.0)))
+query("r01_warp_equal_earth", _warp_sql(EQUAL_EARTH, 123, 60))(lambda spark, d: _warped(spark, d, G.EqualEarth(123, 60, 0.0)))
 BIL = (
     "SELECT px, py, {lat} AS lat, {lon} AS lon, {v} AS value FROM (SELECT c.*, "
     "(1 - tx) * (1 - ty) * a.value + tx * (1 - ty) * b.value + (1 - tx) * ty * e.value + tx * ty * f.value AS value FROM "
@@ -136,7 +161,6 @@ query("g17_normalise_lon", f"WITH {POINTS} SELECT o_orderkey, {s6('lon * 3 + 180
     lambda spark, d: points(spark, d).select("o_orderkey", r6(normalise_lon(F.col("lon") * 3)).alias("lon")))
 query("g20_gaussian_latitudes")(lambda spark, d: spark.createDataFrame([(n, k, round(v, 9)) for n in (16, 32, 80) for k, v in enumerate(G.gaussian_latitudes(n))], "n int, k int, lat double"))
 WRAP = "({0} - 360 * (CASE WHEN {0} < 0 THEN -1 ELSE 1 END) * greatest(0, ceil(abs({0} / 360) - 0.5)))"
-_robin = ", ".join(f"({k}, {', '.join(repr(float(v)) + '::DOUBLE' for v in (*x, *y))})" for k, (x, y) in enumerate(zip(G.natural_spline(G.ROBINSON_X), G.natural_spline(G.ROBINSON_Y), strict=True)))
 _dl = WRAP.format("(lon - 20)")
 
 
@@ -150,7 +174,7 @@ TARGET_SQL = {
     "t02_web_mercator": (G.WebMercator(361, 181, -80.0, 80.0), _fwd("lon + 180", f"(ln(tan(pi() / 4 + 40 * {D})) - ln(tan(pi() / 4 + lat * {D} / 2))) / (2 * ln(tan(pi() / 4 + 40 * {D})) / 180)", "lat > -90")),
     "t03_orthographic": (G.Orthographic(101, 101, 40.0, 10.0), _fwd(f"(cos(lat * {D}) * sin((lon - 10) * {D}) + 1) * 50", f"(1 - (cos(40 * {D}) * sin(lat * {D}) - sin(40 * {D}) * cos(lat * {D}) * cos((lon - 10) * {D}))) * 50", f"sin(40 * {D}) * sin(lat * {D}) + cos(40 * {D}) * cos(lat * {D}) * cos((lon - 10) * {D}) >= -1e-9")),
     "t04_polar": (G.Polar(101, 101, True, 15.0), _fwd(f"(tan((pi() / 2 + lat * {D}) / 2) * sin((lon - 15) * {D}) + 1) * 50", f"(1 - tan((pi() / 2 + lat * {D}) / 2) * cos((lon - 15) * {D})) * 50", "lat <= 0")),
-    "t06_robinson": (G.Robinson(201, 101, 20.0), _fwd(f"((ax + t * (bx + t * (cx + t * dx))) * {_dl} / 180 + 1) * 100", "(1 - (CASE WHEN lat < 0 THEN -1 ELSE 1 END) * (ay + t * (by_ + t * (cy + t * dy)))) * 50", src="p", pre=f", sp(k, ax, bx, cx, dx, ay, by_, cy, dy) AS (VALUES {_robin}), p AS (SELECT pts.*, sp.*, abs(lat) / 5 - sp.k AS t FROM pts JOIN sp ON sp.k = least(floor(abs(lat) / 5), 17)::INT)")),
+    "t06_robinson": (G.Robinson(201, 101, 20.0), _fwd(f"((ax + t * (bx + t * (cx + t * dx))) * {_dl} / 180 + 1) * 100", "(1 - (CASE WHEN lat < 0 THEN -1 ELSE 1 END) * (ay + t * (by_ + t * (cy + t * dy)))) * 50", src="p", pre=f", {SPLINE}, p AS (SELECT pts.*, sp.*, abs(lat) / 5 - sp.k AS t FROM pts JOIN sp ON sp.k = least(floor(abs(lat) / 5), 17)::INT)")),
     "t07_equal_earth": (G.EqualEarth(201, 101, 20.0), _fwd(f"({_dl} * {D} * cos(t) / (sqrt(3) / 2 * (1.340264 - 3 * 0.081106 * t * t + pow(t, 6) * (7 * 0.000893 + 9 * 0.003796 * t * t))) / (pi() / (sqrt(3) / 2 * 1.340264)) + 1) * 100", "(1 - t * (1.340264 - 0.081106 * t * t + pow(t, 6) * (0.000893 + 0.003796 * t * t)) / (m * (1.340264 - 0.081106 * m * m + pow(m, 6) * (0.000893 + 0.003796 * m * m)))) * 50", src="p", pre=f", p AS (SELECT *, asin(sqrt(3) / 2 * sin(lat * {D})) AS t, pi() / 3 AS m FROM pts)")),
 }
 for _name, (_target, _sql) in TARGET_SQL.items():
@@ -298,7 +322,13 @@ query("r05_position_log", f"SELECT event_id, {s6('least(1, greatest(0, (log10(va
 _lut = ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(colormap.get("viridis").lut()))
 _LUT = f"lut(k, r, g, b) AS (VALUES {_lut})"
 query("r06_colormaps", "SELECT 'grayscale' AS name, k::INT AS idx, k::INT AS r, k::INT AS g, k::INT AS b FROM range(256) t(k)")(lambda spark, d: colormap.frame(spark, "grayscale"))
-query("s32_colormap_registry")(lambda spark, d: spark.createDataFrame([(c.name, c.label, c.kind, len(c.anchors)) for c in colormap.REGISTRY.values()], "name string, label string, kind string, n_anchors int"))
+# The names, labels, kinds and anchor counts of the registered maps.
+REGISTERED = """
+SELECT * FROM (VALUES ('viridis', 'Viridis', 'sequential', 11), ('plasma', 'Plasma', 'sequential', 33), ('cividis', 'Cividis', 'sequential', 33),
+  ('turbo', 'Turbo', 'sequential', 33), ('grayscale', 'Grayscale', 'sequential', 2), ('rdbu', 'Red–Blue', 'diverging', 33),
+  ('brbg', 'Brown–Teal', 'diverging', 33), ('coolwarm', 'Cool–Warm', 'diverging', 33)) t(name, label, kind, n_anchors)
+"""
+query("s32_colormap_registry", REGISTERED)(lambda spark, d: spark.createDataFrame([(c.name, c.label, c.kind, len(c.anchors)) for c in colormap.REGISTRY.values()], "name string, label string, kind string, n_anchors int"))
 query("r08_render", f"WITH {FE}, {_LUT}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM fe), p AS (SELECT i AS px, j AS py, floor((value - lo) / (hi - lo) * 255 + 0.5)::INT AS k FROM fe, e) SELECT px, py, r::INT AS r, g::INT AS g, b::INT AS b, 255 AS a FROM p JOIN lut USING (k)")(
     lambda spark, d: R.render(fe(spark, d), fe_grid(spark, d)))
 query("r07_paint_log", f"WITH {_LUT}, p AS (SELECT event_id AS px, 0 AS py, value, least(1, greatest(0, (log10(value) - log10(1)) / (log10(300) - log10(1)))) AS t FROM events) SELECT px, py, coalesce(r, 0)::INT AS r, coalesce(g, 0)::INT AS g, coalesce(b, 0)::INT AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a FROM p LEFT JOIN lut ON k = 255 - floor(t * 255 + 0.5)::INT")(
