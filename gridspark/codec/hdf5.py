@@ -232,6 +232,15 @@ class File:
         rank, at = b[1], 8 if b[0] == 1 else 4
         return [int.from_bytes(b[at + k * self.sl : at + (k + 1) * self.sl], "little") for k in range(rank)]
 
+    def most(self, b: bytes) -> list[int | None]:
+        """The largest shape of a data space: None where a dimension is unlimited."""
+        rank, at = b[1], 8 if b[0] == 1 else 4
+        if not b[2] & 1:
+            return list(self.shape(b))
+        end = (1 << 8 * self.sl) - 1
+        found = [int.from_bytes(b[at + k * self.sl : at + (k + 1) * self.sl], "little") for k in range(rank, 2 * rank)]
+        return [None if v == end else v for v in found]
+
     def global_object(self, address: int, index: int) -> bytes:
         at = address + self.base
         if self.data[at : at + 4] != b"GCOL":
@@ -453,6 +462,61 @@ def _fill(node: Node, t: Type) -> float:
     return float(np.frombuffer(raw, t.form, 1)[0]) if t.form and len(raw) >= t.size else 0.0
 
 
+def _extensible(f: File, address: int):
+    """(number, file position, size) of the elements an extensible array has stored."""
+    so, sl, unset = f.so, f.sl, UNDEF >> (64 - 8 * f.so)
+
+    def block(a: int, mark: bytes) -> int:
+        f.tick()
+        if f.data[a + f.base : a + f.base + 4] != mark:
+            raise FormatError("a chunk index is broken")
+        return a + f.base + 6
+
+    p = block(address, b"EAHD")
+    esize, bits, direct, least, pointers, page_bits = f.data[p : p + 6]
+    if not esize or not least or not pointers:
+        raise FormatError("a chunk index is broken")
+    last = f.num(p + 6 + 4 * sl, sl)  # elements up to here were ever set
+    index = f.num(p + 6 + 6 * sl, so)
+    wide, page = -(-bits // 8), 1 << page_bits
+    if index == unset:
+        return
+    p = block(index, b"EAIB") + so
+    yield from ((i, p + i * esize, esize) for i in range(min(direct, last)))
+    p += direct * esize
+
+    def data(a: int, first: int, n: int, set_pages: list[bool] | None):
+        q = block(a, b"EADB") + so + wide
+        for i in range(min(n, last - first)):
+            if set_pages is None:
+                yield first + i, q + i * esize, esize
+            elif set_pages[i // page]:
+                yield first + i, q + 4 + i // page * (page * esize + 4) + i % page * esize, esize
+
+    first, inner = direct, 2 * (pointers.bit_length() - 1)
+    for level in range(1 + bits - (least.bit_length() - 1)):
+        blocks, n = 1 << level // 2, least << (level + 1) // 2
+        if first >= last:
+            return
+        if level < inner:  # the index block points at these data blocks itself
+            for k in range(blocks):
+                if (a := f.num(p + k * so, so)) != unset:
+                    yield from data(a, first + k * n, n, None)
+            p += blocks * so
+        else:
+            a, p = f.num(p, so), p + so
+            if a != unset:
+                q = block(a, b"EASB") + so + wide
+                pages = n // page if n > page else 0
+                marks = f.data[q : q + blocks * -(-pages // 8)]
+                q += len(marks)
+                for k in range(blocks):
+                    if (a := f.num(q + k * so, so)) != unset and first + k * n < last:
+                        own = [bool(marks[m // 8] >> (7 - m % 8) & 1) for m in range(k * pages, (k + 1) * pages)]
+                        yield from data(a, first + k * n, n, own or None)
+        first += blocks * n
+
+
 def _chunks(f: File, d: Dataset, b: bytes, filtered: bool):
     """(offset of a chunk in elements, address, stored size, filter mask) of a chunked layout, and its chunk shape."""
     so = f.so
@@ -485,9 +549,27 @@ def _chunks(f: File, d: Dataset, b: bytes, filtered: bool):
     shape = [int.from_bytes(b[5 + w * k : 5 + w * (k + 1)], "little") for k in range(n)][:rank]
     p = 5 + w * n
     kind, p = b[p], p + 1
-    grid = [-(-s // c) for s, c in zip(d.shape, shape, strict=True)]
+    space = d.node.first(1)
+    most = f.most(space) if space is not None else list(d.shape)
+    # chunks are numbered over the largest shape; an unlimited dimension varies slowest
+    grid = [-(-(s if m is None else m) // c) for s, m, c in zip(d.shape, most, shape, strict=True)]
+    turn = sorted(range(rank), key=lambda k: most[k] is not None)
     whole = int(np.prod(shape, dtype=np.int64)) * d.type.size
-    place = lambda i: [int(k) * c for k, c in zip(np.unravel_index(i, grid), shape, strict=True)] if rank else []
+
+    def place(i: int) -> list[int]:
+        out = [0] * rank
+        for k in reversed(turn):
+            n = grid[k] if most[k] is not None else i + 1
+            out[k], i = i % n * shape[k], i // n
+        return out
+
+    inside = lambda off: all(o < s for o, s in zip(off, d.shape, strict=True))
+
+    def entry(e: int, esize: int) -> tuple[int, int, int]:
+        """(address, stored size, filter mask) of an index element."""
+        return (f.num(e, so), f.num(e + so, esize - so - 4), f.num(e + esize - 4, 4)) if filtered else (f.num(e, so), whole, 0)
+
+    unset = UNDEF >> (64 - 8 * so)
     if kind == 1:
         size, mask = whole, 0
         if flags & 2:
@@ -496,7 +578,9 @@ def _chunks(f: File, d: Dataset, b: bytes, filtered: bool):
         return [([0] * rank, int.from_bytes(b[p : p + so], "little"), size, mask)], shape
     if kind == 2:
         a = int.from_bytes(b[p : p + so], "little")
-        return [(place(i), a + i * whole, whole, 0) for i in range(int(np.prod(grid)))], shape
+        if a == unset:
+            return [], shape
+        return [(off, a + i * whole, whole, 0) for i in range(int(np.prod(grid))) if inside(off := place(i))], shape
     if kind == 3:
         bits = b[p]
         at = int.from_bytes(b[p + 1 : p + 1 + so], "little") + f.base
@@ -512,10 +596,17 @@ def _chunks(f: File, d: Dataset, b: bytes, filtered: bool):
             e = q + (i // per) * (per * esize + 4) + (i % per) * esize if pages else q + i * esize
             if pages and not marks[(i // per) // 8] >> (7 - (i // per) % 8) & 1:
                 continue
-            a = f.num(e, so)
-            size, mask = (f.num(e + so, esize - so - 4), f.num(e + esize - 4, 4)) if filtered else (whole, 0)
-            if a != UNDEF >> (64 - 8 * so):
-                out.append((place(i), a, size, mask))
+            a, size, mask = entry(e, esize)
+            if a != unset and inside(off := place(i)):
+                out.append((off, a, size, mask))
+        return out, shape
+    if kind == 4:
+        head = int.from_bytes(b[p + 5 : p + 5 + so], "little")
+        out = []
+        for i, e, esize in _extensible(f, head) if head != unset else ():
+            a, size, mask = entry(e, esize)
+            if a != unset and inside(off := place(i)):
+                out.append((off, a, size, mask))
         return out, shape
     if kind == 5:
         at = int.from_bytes(b[p + 6 : p + 6 + so], "little")

@@ -239,8 +239,48 @@ def netcdf3(dims: dict, variables: dict, attrs: dict | None = None, version: int
     return head + table(begins) + body
 
 
-def hdf5(variables: dict, chunk: tuple | None = None) -> bytes:
-    """A NetCDF-4-like file: name -> (array, attrs); chunked with shuffle and deflate where ``chunk`` is given."""
+def extensible_array(put, elements: dict[int, bytes], esize: int, direct: int = 2, least: int = 2, pointers: int = 2, page_bits: int = 2, bits: int = 32) -> tuple[bytes, int]:
+    """(parameters as a layout tells them, address of the header) of an index that holds these elements.
+
+    Blocks and pages without an element are not stored.
+    """
+    u = lambda v, n: int(v).to_bytes(n, "little")
+    none, page, wide = b"\xff" * esize, 1 << page_bits, -(-bits // 8)
+    take = lambda a, n: b"".join(elements.get(i, none) for i in range(a, a + n))
+    held = lambda a, n: any(i in elements for i in range(a, a + n))
+    head = b"\0\0" + u(0, 8)
+    last, first, pairs, supers = max(elements, default=-1) + 1, direct, b"", b""
+    inner = {1: 0, 2: 2, 4: 4}[pointers]
+    level = 0
+    while level < inner or first < last:
+        count, n = 2 ** (level // 2), least * 2 ** ((level + 1) // 2)
+        paged = level >= inner and n > page
+        addresses, marks = b"", ""
+        for a in range(first, first + count * n, n):
+            body = take(a, n) + u(0, 4)
+            if paged:
+                body = u(0, 4) + b"".join(take(b, page) + u(0, 4) if held(b, page) else b"\x55" * (page * esize + 4) for b in range(a, a + n, page))
+                marks += "".join(str(int(held(b, page))) for b in range(a, a + n, page))
+            addresses += u(put(b"EADB" + head + u(a - direct, wide) + body), 8) if held(a, n) else b"\xff" * 8
+        if level < inner:
+            pairs += addresses
+        else:
+            size = count * -(-(n // page) // 8) if paged else 0
+            bitmap = int(marks.ljust(8 * size, "0"), 2).to_bytes(size, "big") if size else b""
+            supers += u(put(b"EASB" + head + u(first - direct, wide) + bitmap + addresses + u(0, 4)), 8)
+        first += count * n
+        level += 1
+    supers += b"\xff" * (8 * (1 + bits - (least.bit_length() - 1) - level))
+    index = put(b"EAIB" + head + take(0, direct) + pairs + supers + u(0, 4))
+    stats = u(0, 8) * 4 + u(last, 8) + u(last, 8)
+    return bytes([bits, direct, pointers, least, page_bits]), put(b"EAHD\0\0" + bytes([esize, bits, direct, least, pointers, page_bits]) + stats + u(index, 8) + u(0, 4))
+
+
+def hdf5(variables: dict, chunk: tuple | None = None, unlimited: int | None = None, skip: tuple = ()) -> bytes:
+    """A NetCDF-4-like file: name -> (array, attrs); chunked with shuffle and deflate where ``chunk`` is given.
+
+    With an ``unlimited`` dimension an extensible array indexes the chunks; those numbered in ``skip`` are not stored.
+    """
     import zlib
 
     out = bytearray(b"\0" * 48)
@@ -280,16 +320,31 @@ def hdf5(variables: dict, chunk: tuple | None = None) -> bytes:
         a = a.astype(a.dtype.newbyteorder("<"))
         msgs = [(1, space(a.shape)), (3, dtype(a.dtype))]
         if chunk and a.ndim == len(chunk):
-            keys = b""
+            keys, elements = b"", {}
             grid = list(np.ndindex(*[-(-s // c) for s, c in zip(a.shape, chunk, strict=True)]))
             for g in grid:
                 part = np.zeros(chunk, a.dtype)
                 own = tuple(slice(i * c, min((i + 1) * c, s)) for i, c, s in zip(g, chunk, a.shape, strict=True))
                 part[tuple(slice(0, s.stop - s.start) for s in own)] = a[own]
                 raw = zlib.compress(np.frombuffer(part.tobytes(), np.uint8).reshape(-1, a.itemsize).T.tobytes())
+                if unlimited is not None:
+                    rest = [(i, -(-s // c)) for k, (i, s, c) in enumerate(zip(g, a.shape, chunk, strict=True)) if k != unlimited]
+                    number = g[unlimited]
+                    for i, n in rest:
+                        number = number * n + i
+                    if number not in skip:
+                        elements[number] = u(put(raw), 8) + u(len(raw), 2) + u(0, 4)
+                    continue
                 keys += u(len(raw), 4) + u(0, 4) + b"".join(u(i * c, 8) for i, c in zip(g, chunk, strict=True)) + u(0, 8) + u(put(raw), 8)
-            tree = put(b"TREE" + bytes([1, 0]) + u(len(grid), 2) + b"\xff" * 16 + keys)
-            msgs.append((8, bytes([3, 2, a.ndim + 1]) + u(tree, 8) + b"".join(u(c, 4) for c in chunk) + u(a.itemsize, 4)))
+            if unlimited is not None:
+                most = [b"\xff" * 8 if k == unlimited else u(s, 8) for k, s in enumerate(a.shape)]
+                msgs[0] = (1, bytes([1, a.ndim, 1]) + space(a.shape)[3:] + b"".join(most))
+                told, at = extensible_array(put, elements, 14)
+                index = bytes([4, 2, 0, a.ndim + 1, 4]) + b"".join(u(c, 4) for c in chunk) + u(a.itemsize, 4) + b"\x04" + told + u(at, 8)
+            else:
+                tree = put(b"TREE" + bytes([1, 0]) + u(len(grid), 2) + b"\xff" * 16 + keys)
+                index = bytes([3, 2, a.ndim + 1]) + u(tree, 8) + b"".join(u(c, 4) for c in chunk) + u(a.itemsize, 4)
+            msgs.append((8, index))
             msgs.append((11, bytes([1, 2]) + b"\0" * 6 + u(2, 2) + u(0, 2) + u(0, 2) + u(1, 2) + u(a.itemsize, 4) + b"\0" * 4 + u(1, 2) + u(0, 2) + u(0, 2) + u(1, 2) + u(4, 4) + b"\0" * 4))
         else:
             msgs.append((8, bytes([3, 1]) + u(put(a.tobytes()), 8) + u(a.nbytes, 8)))

@@ -194,3 +194,27 @@ def test_reduced_rows_widen():
 def test_p1_edited_in_place():
     b = synth.simple1(X, NI, NJ)
     assert next(grib1.messages(grib1.set_p1(b, 0, 42)))["p1"] == 42
+
+
+@pytest.mark.parametrize("axis", [0, 1])
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 33, 130])
+def test_extensible_array_index(axis, n):
+    """Chunks along an unlimited dimension, through direct elements, data blocks, secondary blocks and pages."""
+    shape, chunk = ((2 * n - 1, 5), (2, 3)) if axis == 0 else ((5, 2 * n - 1), (3, 2))
+    a = np.arange(1, 1 + 5 * (2 * n - 1), dtype=np.int16).reshape(shape)
+    skip = set(range(40, 60)) | {5, 100, 101}
+    v = hdf5.values(synth.hdf5({"t": (a, {})}, chunk, axis, tuple(skip)), "t")
+    want = a.astype(float)
+    for number in skip:  # two chunks lie side by side across the fixed dimension
+        i, k = divmod(number, 2)
+        own = (slice(2 * i, 2 * i + 2), slice(3 * k, 3 * k + 3))
+        want[own if axis == 0 else own[::-1]] = 0
+    assert np.array_equal(np.ma.getdata(v), want)
+
+
+def test_extensible_array_that_is_broken():
+    b = synth.hdf5({"t": (np.arange(90, dtype=np.int16).reshape(45, 2), {})}, (2, 2), 0)
+    for mark in (b"EAHD", b"EAIB", b"EASB", b"EADB"):
+        assert mark in b
+        with pytest.raises(bits.FormatError):
+            hdf5.values(b.replace(mark, b"XXXX"), "t")
