@@ -41,6 +41,8 @@ def _write(kind: str, x: np.ndarray, v: np.ndarray) -> bytes:
         return synth.run_length2(np.where(v > 0.1, 3, np.where(v > -0.1, 1, 0)), 8, 8)
     if kind == "netcdf3":
         return synth.netcdf3({"time": 0, "x": 8}, {"t": (["time", "x"], x.astype(np.int16).reshape(8, 8), {"_FillValue": np.int16(1024), "scale_factor": np.float64(0.5)})}, {"title": "t"}, 2)
+    if kind == "extensible":
+        return synth.hdf5({"t": (x.astype(np.int16).reshape(8, 8), {"_FillValue": np.int16(1024)})}, (1, 3), 0)
     if kind == "hdf5":
         return synth.hdf5({"t": (x.astype(np.int16).reshape(8, 8), {"_FillValue": np.int16(1024)})}, (3, 5))
     return {
@@ -61,11 +63,24 @@ def _decoded(kind: str):
 _PLAIN = f"WITH {FE} SELECT j, i, CASE WHEN {QUANT} = 1024 THEN 0.0 ELSE round(-1 + {QUANT} / 1024, 6) END AS value FROM fe"
 for _key, _kind in {"p14_grib2_simple": "simple", "p16_grib2_complex": "complex", "p17_grib2_spatial_1": "spatial1", "p17_grib2_spatial_2": "spatial2", "p23_grib2_second_order": "second_order", "p24_grib2_boustrophedonic": "turned", "p02_grib1_simple": "grib1", "p04_grib1_second_order": "grib1_second_order"}.items():
     query(_key, _PLAIN)(_decoded(_kind))
+
+
+def _shared_out(spark, d):
+    """Files of sixteen messages each, decoded message by message."""
+    one = _files(spark, d, "spatial2").select(F.expr("path::int div 16").alias("file"), F.struct(F.col("path").cast("int").alias("k"), "content").alias("m"))
+    whole = one.groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    bytes_ = F.aggregate("m", F.lit(b""), lambda a, m: F.concat(a, m["content"]))
+    f = S.fields(S.spread(whole.select(F.col("file").cast("string").alias("path"), bytes_.alias("content"))))
+    j = F.col("path").cast("int") * 16 + F.col("message_index")
+    return f.select(j.alias("j"), F.posexplode_outer("values").alias("i", "value")).select("j", "i", r6(F.col("value")).alias("value"))
+
+
+query("r19_messages_of_files", _PLAIN)(_shared_out)
 query("p28_grib2_bitmap", f"WITH {FE} SELECT j, i, CASE WHEN value > 0 THEN CASE WHEN {QUANT} = 1024 THEN 0.0 ELSE round(-1 + {QUANT} / 1024, 6) END END AS value FROM fe")(_decoded("bitmap"))
 query("p22_grib2_run_length", f"WITH {FE} SELECT j, i, CASE WHEN value > 0.1::DOUBLE THEN 3.0 WHEN value > -0.1::DOUBLE THEN 1.0 END AS value FROM fe")(_decoded("runs"))
 query("s29_message_listing", "SELECT vec_id AS id, 0 AS message_index, 2 AS edition, 'latlon' AS grid_type, 8 AS ni, 8 AS nj, 90.0 AS lat_first, 354.375 AS lon_last, 'grid_complex' AS packing, '2024-03-14T15:09:26Z' AS reference_time FROM embeddings")(
     lambda spark, d: S.catalog(_files(spark, d, "complex")).select(F.col("path").cast("long").alias("id"), "message_index", "edition", "grid_type", "ni", "nj", "lat_first", "lon_last", "packing", "reference_time"))
-for _key, _kind in {"s18_netcdf_classic_values": "netcdf3", "s24_hdf5_chunked_values": "hdf5"}.items():
+for _key, _kind in {"s18_netcdf_classic_values": "netcdf3", "s24_hdf5_chunked_values": "hdf5", "s25_hdf5_extensible_values": "extensible"}.items():
 
     def _values(spark, d, kind=_kind):
         v = S.variable_values(_files(spark, d, kind), "t")

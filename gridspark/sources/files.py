@@ -72,6 +72,11 @@ def _messages(data: bytes):
     return codec, found
 
 
+def _each(b: pa.RecordBatch):
+    """(path, bytes) of each file; null content has no bytes."""
+    return zip(b.column(0).to_pylist(), (v or b"" for v in b.column(1).to_pylist()), strict=True)
+
+
 def _rows(cols: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     data = list(zip(*rows, strict=True)) if rows else [[] for _ in cols]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(data, cols, strict=True)], [n for n, _ in cols])
@@ -84,7 +89,7 @@ def catalog(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, data in _each(b):
                 try:
                     for m in _messages(data)[1]:
                         g = m["grid"]
@@ -98,13 +103,37 @@ def catalog(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, CATALOG)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """One row per message (path, content, first): the messages of large files spread over tasks by bytes, for ``fields``.
+
+    Finding messages decodes nothing, so a file of any number of messages costs its task one scan
+    and the decoding that follows is shared out.  ``first`` counts the messages before.  A file that
+    cannot be scanned stays one row, and ``fields`` tells its error.
+    """
+
+    def run(batches):
+        for b in batches:
+            for path, data in _each(b):
+                try:
+                    parts = [(m["message_index"], data[m["byte_offset"] : m["byte_offset"] + m["byte_length"]]) for m in _messages(data)[1]]
+                except BROKEN:
+                    parts = [(0, data)]
+                for first, part in parts:
+                    yield _rows([("path", pa.string()), ("content", pa.binary()), ("first", pa.int32())], [(path, part, first)])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, first int").hint("rebalance")
+
+
 def fields(files: DataFrame) -> DataFrame:
-    """Decoded fields of GRIB files: values[j*ni + i], NULL where missing; undecodable messages keep an error."""
+    """Decoded fields of GRIB files: values[j*ni + i], NULL where missing; undecodable messages keep an error.
+
+    Files that went through ``spread`` keep the place of each message in its file.
+    """
     kinds = [("path", pa.string()), ("message_index", pa.int32()), ("edition", pa.int32()), ("grid_type", pa.string()), ("ni", pa.int32()), ("nj", pa.int32()), ("values", pa.list_(pa.float64())), ("error", pa.string())]
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for (path, data), first in zip(_each(b), b.column(2).to_pylist(), strict=True):
                 try:
                     codec, found = _messages(data)
                 except BROKEN as e:
@@ -120,12 +149,13 @@ def fields(files: DataFrame) -> DataFrame:
                         values = pa.array(np.ma.getdata(v).astype(np.float64), mask=np.ma.getmaskarray(v))
                     except BROKEN as e:
                         error = _told(e)
-                    one = _rows([k for k in kinds if k[0] != "values"], [(path, m["message_index"], m["edition"], g["grid_type"], ni, g.get("nj"), error)])
+                    one = _rows([k for k in kinds if k[0] != "values"], [(path, first + m["message_index"], m["edition"], g["grid_type"], ni, g.get("nj"), error)])
                     off = pa.array([0, len(values)] if values is not None else [None, 0], pa.int32())
                     lists = pa.ListArray.from_arrays(off, values if values is not None else pa.array([], pa.float64()))
                     yield pa.RecordBatch.from_arrays([*one.columns[:6], lists, one.column(6)], [k for k, _ in kinds])
 
-    return files.select("path", "content").mapInArrow(run, FIELD)
+    first = F.col("first") if "first" in files.columns else F.lit(0).alias("first")
+    return files.select("path", "content", first).mapInArrow(run, FIELD)
 
 
 def message(fields: DataFrame, index: int) -> DataFrame:
@@ -143,7 +173,7 @@ def coefficients(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, data in _each(b):
                 try:
                     codec, found = _messages(data)
                 except BROKEN:
@@ -170,7 +200,7 @@ def variables(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, data in _each(b):
                 try:
                     found = hdf5.variables(data) if data[:4] == b"\x89HDF" else [(v.name, v.type, v.dims, v.shape, v.attrs) for v in netcdf3.header(data).variables]
                     rows += [(path, n, t, d, s, k, [(a, shown(x)) for a, x in at.items()], None) for k, (n, t, d, s, at) in enumerate(found)]
@@ -190,7 +220,7 @@ def variable_values(files: DataFrame, name: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, data in _each(b):
                 try:
                     v = hdf5.values(data, name) if data[:4] == b"\x89HDF" else netcdf3.values(data, netcdf3.header(data), name)
                 except BROKEN:

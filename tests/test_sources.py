@@ -161,3 +161,15 @@ def test_degenerate_grids_hold_nothing(spark, grid):
     d = spark.createDataFrame([(45.0, 10.0), (0.0, 0.0)], "lat double, lon double")
     i, j = g.index(d.lat, d.lon)
     assert d.select(i.alias("i"), j.alias("j")).where("i is not null or j is not null").count() == 0
+
+
+def test_messages_of_a_file_are_decoded_apart(spark):
+    """The same fields with and without spreading; broken and null files keep their error row."""
+    x = np.arange(64)
+    whole = synth.simple2(x, 8, 8) + b"between" + synth.complex2(x * 2, 8, 8, 1) + synth.simple2(x + 5, 8, 8)
+    f = spark.createDataFrame([("a", whole), ("b", synth.simple1(x, 8, 8)), ("cut", whole[:60]), ("none", None)], "path string, content binary")
+    plain, apart = ({(r.path, r.message_index): (r.error, r.values) for r in S.fields(g).collect()} for g in (f, S.spread(f)))
+    assert plain == apart and {k for k in plain if plain[k][0] is None} == {("a", 0), ("a", 1), ("a", 2), ("b", 0)}
+    assert plain["cut", None][0] and plain["none", None][0]
+    assert S.catalog(f).where("path = 'none' and error is not null").count() == 1 and S.variables(f).where("path = 'none' and error is not null").count() == 1
+    assert S.spread(f.limit(0)).count() == 0
