@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.plans import catalog, catalog_files, catalog_more  # noqa: F401
+from gridspark.plans import catalog, catalog_files, catalog_more, catalog_sections  # noqa: F401
 
 
 def differences(a, b):
