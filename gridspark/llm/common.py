@@ -7,6 +7,7 @@ the folder named by ``spark.checkpoint.dir`` (shared by driver and executors).
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -35,6 +36,50 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system, so that an idle Python worker stays small."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow that trims its worker when its task's rows are out."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return call
+
+
+def lean_table(run):
+    """A function of one table for applyInArrow that trims its worker after a table of 1 MB or more."""
+
+    def call(t):
+        out = run(t)
+        if t.nbytes >= 1 << 20:
+            trim()
+        return out
+
+    return call
+
+
+def lean_tables(run):
+    """The same for a function of two tables."""
+
+    def call(left, right):
+        out = run(left, right)
+        if left.nbytes + right.nbytes >= 1 << 20:
+            trim()
+        return out
+
+    return call
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -291,7 +336,7 @@ def id_filter(ids: DataFrame, col: str, bits: int = 1 << 23) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f).tobytes()], pa.binary())], ["f"])
 
     n = max(1, min(8, ids.sparkSession.sparkContext.defaultParallelism))
-    rows = columns_of(ids, col).coalesce(n).mapInArrow(build, "f binary").collect()  # at most 8 rows of 1 MB
+    rows = columns_of(ids, col).coalesce(n).mapInArrow(lean(build), "f binary").collect()  # at most 8 rows of 1 MB
     f = np.zeros(bits // 8, np.uint8)
     for r in rows:
         f |= np.frombuffer(r.f, np.uint8)
@@ -338,7 +383,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e, "cc")
     if e.count() <= small:
-        return e.coalesce(1).mapInArrow(_small_components, "node long, component long")
+        return e.coalesce(1).mapInArrow(lean(_small_components), "node long, component long")
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -273,7 +273,7 @@ def leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, overl
                 cols = [b.column(0), pa.array([bool(x) for x in hits]), pa.array(hits, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64()), b.column(2)]
                 yield pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in OUT.split(", ")), "_row"])
 
-        found.append(d.mapInArrow(run, OUT + ", _row long"))
+        found.append(d.mapInArrow(C.lean(run), OUT + ", _row long"))
     if len(found) == 1:
         return found[0].drop("_row")
     out = found[0]
@@ -295,7 +295,7 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD,
                 rows = judge(held.value, b.column(at), threshold, overlap)
                 yield b.filter(pa.array([not r[0] for r in rows], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(C.lean(run), docs.schema)
     return docs
 
 

@@ -56,7 +56,7 @@ def class_rows(docs: DataFrame, k: int) -> DataFrame:
             key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary())], ["doc_id", "n", "key", "sketch"])
 
-    return C.columns_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, key binary, sketch binary")
+    return C.columns_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(C.lean(run), "doc_id long, n long, key binary, sketch binary")
 
 
 def _u64(b) -> np.ndarray:
@@ -75,7 +75,7 @@ def frequent_values(reps: DataFrame) -> DataFrame:
             v, c = np.unique(_u64(b"".join(b.column(0).to_pylist())), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c.astype(np.int32))], ["value", "c"])
 
-    df = reps.select("sketch").mapInArrow(values, "value long, c int").groupBy("value").agg(F.sum("c").alias("df"))
+    df = reps.select("sketch").mapInArrow(C.lean(values), "value long, c int").groupBy("value").agg(F.sum("c").alias("df"))
     return df.where(F.col("df") >= LONG).orderBy(F.desc("df"), "value").limit(MAX_LONG_LISTS)
 
 
@@ -111,7 +111,7 @@ def entries(reps: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, num:
             cols = [v.view(np.int64), doc[row], n[row], is_long, central[row]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["value", "doc_id", "n", "long", "central"])
 
-    return reps.select("doc_id", "n", "sketch").mapInArrow(run, "value long, doc_id long, n long, long boolean, central long")
+    return reps.select("doc_id", "n", "sketch").mapInArrow(C.lean(run), "value long, doc_id long, n long, long boolean, central long")
 
 
 def list_pairs(v: np.ndarray, d: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def short_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
             yield from settled(*held)
 
     own = index.where("not long").select("value", "doc_id", "n").repartition(n, "value").sortWithinPartitions("value", "doc_id")
-    return own.mapInArrow(run, "a long, b long, kind int")
+    return own.mapInArrow(C.lean(run), "a long, b long, kind int")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
@@ -215,8 +215,8 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Dat
                 keep.append(same >= t * size - 6 * math.sqrt(t * (1 - t) * size))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = reps.select("doc_id", "n", F.col("sketch").alias("s")).mapInArrow(mine, "doc_id long, n long, s binary")
-    return _join_sets(pairs, sets).mapInArrow(run, "a long, b long")
+    sets = reps.select("doc_id", "n", F.col("sketch").alias("s")).mapInArrow(C.lean(mine), "doc_id long, n long, s binary")
+    return _join_sets(pairs, sets).mapInArrow(C.lean(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = C.shingle_sets(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 
-    sets = C.columns_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n long, s binary")
+    sets = C.columns_of(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(C.lean(run), "doc_id long, n long, s binary")
     return sets.join(wanted.select(F.col("i").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
@@ -250,7 +250,7 @@ def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = C.cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("i"))), "sets")
-    return _join_sets(pairs, sets).mapInArrow(run, "a long, b long")
+    return _join_sets(pairs, sets).mapInArrow(C.lean(run), "a long, b long")
 
 
 def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, step: int = 256) -> list[tuple[int, int]]:
@@ -338,7 +338,7 @@ def rest_links(members: DataFrame, comp: DataFrame, docs: DataFrame, num: int, d
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("value", "x", "y").applyInArrow(run, "a long, b long")
+    return rows.groupBy("value", "x", "y").applyInArrow(C.lean_table(run), "a long, b long")
 
 
 def near_groups(docs: DataFrame, num: int = 4, den: int = 5, k: int = K) -> DataFrame:

@@ -252,7 +252,7 @@ def entries(docs: DataFrame, buckets: np.ndarray, depth: int = DEPTH, word: int
         if parts and (r := emit(parts)) is not None:
             yield r
 
-    return docs.mapInArrow(run, BLOB)
+    return docs.mapInArrow(C.lean(run), BLOB)
 
 
 def settle(blobs: DataFrame, groups: int) -> DataFrame:
@@ -292,7 +292,7 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
             out += _deal(groups, 4, d[i], (p[i], 4))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])
 
-    return blobs.groupBy("bucket").applyInArrow(run, BLOB)
+    return blobs.groupBy("bucket").applyInArrow(C.lean_table(run), BLOB)
 
 
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +405,7 @@ def gather(docs: DataFrame, asked: DataFrame, buckets: np.ndarray) -> DataFrame:
                     out.append((k, 2, encode(ids[r[q]], (w[q], 8), (where[q], 4))))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])
 
-    return docs.groupBy(docs.columns[0]).cogroup(asked.groupBy("bucket")).applyInArrow(run, BLOB)
+    return docs.groupBy(docs.columns[0]).cogroup(asked.groupBy("bucket")).applyInArrow(C.lean_tables(run), BLOB)
 
 
 def compare(blobs: DataFrame, groups: int) -> DataFrame:
@@ -438,7 +438,7 @@ def compare(blobs: DataFrame, groups: int) -> DataFrame:
             out += _deal(groups, 1, doc[i], (start[i], 4), (np.full(len(i), DEPTH), 4))
         return pa.Table.from_batches([_rows(*zip(*out, strict=True)) if out else _rows([], [], [])])
 
-    return blobs.groupBy("bucket").applyInArrow(run, BLOB)
+    return blobs.groupBy("bucket").applyInArrow(C.lean_table(run), BLOB)
 
 
 def _covered(own: _Corpus, right: pa.Table) -> np.ndarray:
@@ -509,7 +509,7 @@ def _rewrite(docs: DataFrame, spans: DataFrame, extra: list[str] | None) -> Data
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.groupBy(group).cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
+    return docs.groupBy(group).cogroup(spans.groupBy("bucket")).applyInArrow(C.lean_tables(run), schema)
 
 
 def _spans(docs: DataFrame, groups: int, buckets: int) -> DataFrame:

@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
 
     one = size.select("text", "toxic", "u", "doc_id").coalesce(1).sortWithinPartitions("u", "doc_id").select("text", "toxic")
     model = Model()
-    for r in one.mapInArrow(run, "chosen binary, weight binary, bias double").collect():  # one row: at most MAX_FEATURES numbers
+    for r in one.mapInArrow(C.lean(run), "chosen binary, weight binary, bias double").collect():  # one row: at most MAX_FEATURES numbers
         chosen = np.frombuffer(r.chosen, np.int32)
         model.slot[chosen] = np.arange(len(chosen), dtype=np.int32)
         model.weight, model.bias = np.frombuffer(r.weight, np.float32), r.bias
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in C.chunks(batches, limit=1 << 18):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(predict(held.value, b.column(1)), pa.float64())], ["doc_id", "score"])
 
-    return C.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return C.columns_of(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -192,7 +192,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             keep = predict(held.value, b.column(at)) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
