@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH, WORD = 50, 20
-BLOCK = 8 << 20  # text bytes of a block before the first shuffle
+BLOCK = 4 << 20  # text bytes of a block before the first shuffle
 GROUP, BUCKET = 4 << 20, 16 << 20  # text bytes of a group of documents and behind a bucket of triggers
 HOT = 20_000
 HOT_BLOCK = 8  # distinct entries of one trigger in a block, at least, that make it hot
