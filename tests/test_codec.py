@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridspark.codec import aec, bits, grib1, grib2, hdf5, netcdf3, png, synth
+from gridspark.codec import aec, bits, grib1, grib2, hdf5, netcdf3, png, synth, synth_sections
 
 NI, NJ = 20, 11
 RNG = np.random.default_rng(1)
@@ -137,6 +137,17 @@ def _aec_split(x, k, n_bits):
     return np.packbits(out).tobytes()
 
 
+@pytest.mark.parametrize(("bits", "block", "rsi"), [(5, 8, 8), (12, 16, 4), (8, 8, 128), (16, 32, 2), (20, 8, 70)])
+def test_entropy_coder_round_trip(bits, block, rsi):
+    """Noise, sparse values, a walk and long flat runs: every option, pairs and zero blocks up to whole segments."""
+    rng = np.random.default_rng(1)
+    for size in (1, 7, 64, 1000, 9000):
+        walk = np.cumsum(rng.integers(-1, 2, size)) % (1 << bits)
+        flat = np.repeat(rng.integers(0, 1 << bits, size // 600 + 1), 600)[:size]
+        for x in (rng.integers(0, 1 << bits, size), (rng.random(size) < 0.02).astype(int), walk, flat):
+            assert np.array_equal(aec.decode(synth_sections.entropy_coded(x, bits, block, rsi), size, bits, block, rsi, 8), x)
+
+
 def test_entropy_coder():
     x = RNG.integers(0, 200, 64)
     assert np.array_equal(aec.decode(_aec_plain(x, 8), 64, 8, 8, 128, 0), x)
