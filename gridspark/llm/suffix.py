@@ -48,7 +48,7 @@ from . import common as C
 
 DEPTH, WORD = 50, 20
 BLOCK = 4 << 20  # text bytes of a block before the first shuffle
-GROUP, BUCKET = 4 << 20, 16 << 20  # text bytes of a group of documents and behind a bucket of triggers
+GROUP, BUCKET = 4 << 20, 8 << 20  # text bytes of a group of documents and behind a bucket of triggers
 HOT = 20_000
 HOT_BLOCK = 8  # distinct entries of one trigger in a block, at least, that make it hot
 BLOB = "bucket int, kind int, data binary"
@@ -142,10 +142,16 @@ def decode(raw: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def _stack(blobs: list, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    parts = [decode(b, sizes) for b in blobs]
-    if not parts:
-        return [np.zeros(0, np.int64)] + [np.zeros(0, np.uint64)] * len(sizes)
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+    ends = np.cumsum([0, *(int.from_bytes(b[:8], "little") for b in blobs)]).tolist()
+    out = [np.zeros(ends[-1], np.int64)] + [np.zeros(ends[-1], np.uint64) for _ in sizes]
+    for b, i, j in zip(blobs, ends[:-1], ends[1:], strict=True):  # into place, so that no row is held twice
+        for c, part in zip(out, decode(b, sizes), strict=True):
+            c[i:j] = part
+    return out
+
+
+def _blobs(t: pa.Table, kind: int) -> list:
+    return t.filter(pa.compute.equal(t.column("kind"), kind)).column("data").to_pylist()
 
 
 def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,12 +265,11 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
     """Per bucket: blobs by group of documents, kind 0 requests for bytes, kind 1 covered spans, kind 4 triggers with all they reach covered."""
 
     def run(t: pa.Table) -> pa.Table:
-        kind, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        doc, h, e, pos = _stack([d for k, d in zip(kind, data, strict=True) if k == 0], ENTRY)
-        sdoc, start, length = _stack([d for k, d in zip(kind, data, strict=True) if k == 1], SPAN)
+        doc, h, e, pos = _stack(_blobs(t, 0), ENTRY)
+        sdoc, start, length = _stack(_blobs(t, 1), SPAN)
         out = _deal(groups, 1, sdoc, (start, 4), (length, 4))
-        _, named = _stack([d for k, d in zip(kind, data, strict=True) if k == 6], (5,))
-        hdoc, hh, he, hpos = _stack([d for k, d in zip(kind, data, strict=True) if k == 5], ENTRY)
+        _, named = _stack(_blobs(t, 6), (5,))
+        hdoc, hh, he, hpos = _stack(_blobs(t, 5), ENTRY)
         if len(hdoc):
             o, cls, low = _smallest([hh, he], hdoc)
             covered = hdoc[o] > low[cls]
@@ -273,7 +278,13 @@ def settle(blobs: DataFrame, groups: int) -> DataFrame:
             out += _deal(groups, 0, hdoc[i], (hpos[i], 4), (np.ones(len(i), np.uint64), 1))
         if len(doc):
             o, cls, low = _smallest([h, e], doc)
-            d, hs, p = doc[o], h[o], pos[o]
+            del e  # a bucket's columns are the most a worker holds, so each goes as soon as it is in order
+            d = doc[o]
+            del doc
+            hs = h[o]
+            del h
+            p = pos[o]
+            del pos, o
             covered = d > low[cls]
             new_h = np.r_[True, hs[1:] != hs[:-1]]
             word = np.cumsum(new_h) - 1
@@ -355,10 +366,6 @@ class _Corpus:
         return at - self.off[np.searchsorted(self.ids, self.ids[row])]
 
 
-def _blobs(t: pa.Table, kind: int) -> list:
-    return [d for k, d in zip(t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True) if k == kind]
-
-
 def gather(docs: DataFrame, asked: DataFrame, buckets: np.ndarray) -> DataFrame:
     """The bytes asked for, by bucket of their trigger (kind 0), or windows of hot triggers by their own hash (kind 2).
 

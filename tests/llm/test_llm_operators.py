@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,37 @@ def test_suffix_dedup_small_blocks_and_repeats(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in out) == sorted((i, v[1], v[3]) for i, vs in want.items() for v in vs)
 
 
+class Frame:
+    """Stands for a DataFrame and keeps the function it is given."""
+
+    def groupBy(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def test_a_full_bucket_is_settled_in_80_mb():
+    rng, size = np.random.default_rng(3), 4096
+    rows = [bytes(r).decode() for r in rng.integers(97, 123, (suffix.BUCKET // size, size), np.uint8)]
+    rows += rows[:40]
+    docs = pa.table([range(len(rows)), rows, [0] * len(rows)], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", pa.int64())]))
+    blobs = pa.Table.from_batches(list(suffix.entries(Frame(), np.zeros(1, np.int32)).run(iter(docs.to_batches()))))
+    settle = suffix.settle(Frame(), 5).run
+    tracemalloc.start()
+    try:
+        out = settle(blobs)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    twice = suffix._stack(suffix._blobs(out, 4), suffix.WHOLE)[0]
+    assert {*twice.tolist()} == {*range(len(rows) - 40, len(rows))}
+    assert peak < 80, peak
+
+
 def test_suffix_dedup_odd_inputs(spark):
     d = spark.createDataFrame([(None, "x" * 80, "en", "s", 80), (1, None, None, None, None), (2, "x" * 80, "en", "s", 80)], DOCS)
     got = {r.doc_id: r.n_removed for r in suffix.removed(d).collect()}
