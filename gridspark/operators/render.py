@@ -75,22 +75,25 @@ def _corners(cells: DataFrame, grid) -> DataFrame:
     return two.join(below, ["j", "i"], "left").select("j", "i", "v00", "v10", own("v01", "v00"), own("v11", "v10"))
 
 
-def position(v: Column, lo: Column, hi: Column, scale: str = "linear") -> Column:
-    """Place of v on a colour scale, in [0, 1]; 0 where the range is empty; NULL where it cannot be painted."""
+def position(v: Column, lo: Column, hi: Column, scale: str = "linear", zero_low: bool = False) -> Column:
+    """Place of v on a colour scale, in [0, 1]; 0 where the range is empty; NULL where it cannot be painted.
+
+    Zero has no logarithm and cannot be painted on a log scale; with ``zero_low`` it takes the place of the limit, 0.
+    """
     if scale not in ("linear", "log10"):
         raise ValueError(f"unknown scale {scale!r}; known: linear, log10")
-    ok = finite(v)
+    ok, zero = finite(v), F.lit(False)
     if scale == "log10":
-        ok = ok & (v > 0)
+        ok, zero = ok & (v > 0), (v == 0) & F.lit(zero_low)
         v, lo, hi = F.log10(v), F.log10(lo), F.log10(hi)
     t = F.when(lo == hi, F.lit(0.0)).otherwise(F.try_divide(v - lo, hi - lo))
-    return F.when(ok, clamp(t, 0.0, 1.0))
+    return F.when(ok, clamp(t, 0.0, 1.0)).when(zero, 0.0)
 
 
-def paint(raster: DataFrame, lo: float | Column, hi: float | Column, cmap: str = "viridis", reverse: bool = False, scale: str = "linear", height: int | None = None) -> DataFrame:
+def paint(raster: DataFrame, lo: float | Column, hi: float | Column, cmap: str = "viridis", reverse: bool = False, scale: str = "linear", height: int | None = None, zero_low: bool = False) -> DataFrame:
     """(px, py, r, g, b, a): the table place by a broadcast join; unpaintable pixels are transparent."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    t = position(F.col("value"), lit(lo), lit(hi), scale)
+    t = position(F.col("value"), lit(lo), lit(hi), scale, zero_low)
     table = F.broadcast(colormap.frame(raster.sparkSession, cmap, reverse=reverse).drop("name"))
     out = raster.withColumn("idx", F.floor(t * 255 + 0.5).cast("int")).join(table, "idx", "left")
     rgb = [F.coalesce(c, F.lit(0)).alias(c) for c in ("r", "g", "b")]

@@ -318,7 +318,7 @@ query("k02_csv_long", f"WITH {FE} SELECT {s6('CASE WHEN j = nj - 1 THEN -90 ELSE
 
 # ---- colour ------------------------------------------------------------------------------
 query("r05_position_log", f"SELECT event_id, {s6('least(1, greatest(0, (log10(value) - log10(0.5)) / (log10(400) - log10(0.5))))')} AS t FROM events")(
-    lambda spark, d: table(spark, d, "events").select("event_id", r6(R.position(F.col("value"), F.lit(0.5), F.lit(400.0), "log10")).alias("t")))
+    lambda spark, d: table(spark, d, "events").select("event_id", r6(R.position(F.col("value"), F.lit(0.5), F.lit(400.0), "log10", True)).alias("t")))
 _lut = ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(colormap.get("viridis").lut()))
 _LUT = f"lut(k, r, g, b) AS (VALUES {_lut})"
 query("r06_colormaps", "SELECT 'grayscale' AS name, k::INT AS idx, k::INT AS r, k::INT AS g, k::INT AS b FROM range(256) t(k)")(lambda spark, d: colormap.frame(spark, "grayscale"))
@@ -332,7 +332,7 @@ query("s32_colormap_registry", REGISTERED)(lambda spark, d: spark.createDataFram
 query("r08_render", f"WITH {FE}, {_LUT}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM fe), p AS (SELECT i AS px, j AS py, floor((value - lo) / (hi - lo) * 255 + 0.5)::INT AS k FROM fe, e) SELECT px, py, r::INT AS r, g::INT AS g, b::INT AS b, 255 AS a FROM p JOIN lut USING (k)")(
     lambda spark, d: R.render(fe(spark, d), fe_grid(spark, d)))
 query("r07_paint_log", f"WITH {_LUT}, p AS (SELECT event_id AS px, 0 AS py, value, least(1, greatest(0, (log10(value) - log10(1)) / (log10(300) - log10(1)))) AS t FROM events) SELECT px, py, coalesce(r, 0)::INT AS r, coalesce(g, 0)::INT AS g, coalesce(b, 0)::INT AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a FROM p LEFT JOIN lut ON k = 255 - floor(t * 255 + 0.5)::INT")(
-    lambda spark, d: R.paint(table(spark, d, "events").select(F.col("event_id").alias("px"), F.lit(0).alias("py"), "value"), 1.0, 300.0, "viridis", True, "log10"))
+    lambda spark, d: R.paint(table(spark, d, "events").select(F.col("event_id").alias("px"), F.lit(0).alias("py"), "value"), 1.0, 300.0, "viridis", True, "log10", zero_low=True))
 
 # ---- contours, probes, overlays ----------------------------------------------------------
 
