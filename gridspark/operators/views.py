@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..codec.bits import FormatError
 from ..sources import files as S
@@ -23,15 +22,13 @@ def resolve(files: DataFrame, message: int | None = None, variable: str | None =
         return grids.slice_field(files, variable, y, x, at or {})
     if message is None:
         raise ValueError("name a message or a variable")
-    rows = S.message(S.fields(files), message).select("ni", "nj", "error").take(2)
+    rows = S.found(files, message).take(2)
     if len(rows) != 1:
         raise ValueError("a message is of one file")
     if rows[0].error:
         raise FormatError(rows[0].error)
-    meta = S.catalog(files).where(F.col("message_index") == message).first().meta
-    grid = grids.message_grid(json.loads(meta)["grid"])
-    long = field.to_long(S.message(S.fields(files), message)).select("j", "i", "value")
-    return long, grid or grids.Source(rows[0].ni, rows[0].nj)
+    grid = grids.message_grid(json.loads(rows[0].meta)["grid"])
+    return S.cells(files, message), grid or grids.Source(rows[0].ni, rows[0].nj)
 
 
 def combined(a: tuple[DataFrame, object], b: tuple[DataFrame, object], op: str) -> tuple[DataFrame, object]:

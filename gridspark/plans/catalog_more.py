@@ -116,21 +116,47 @@ query("s04_broken_files", "SELECT kind, o.of AS of, vec_id::INT AS j, kind = 'wh
 # ---- from files to pictures --------------------------------------------------------------
 
 
-def _one(spark, d) -> DataFrame:
-    """The embeddings as one file of one message, a row of the grid each (at most 2,000 rows)."""
-    n = table(spark, d, "embeddings").count()
-    rows = table(spark, d, "embeddings").select(F.struct("vec_id", "embedding").alias("r"))
-    rows = rows.groupBy().agg(F.array_sort(F.collect_list("r")).alias("a"), F.count("*").alias("n"))
+def gathered(spark, d, write, write_all) -> DataFrame:
+    """The embeddings as one file (path = one, content): ``write`` makes each row two byte strings in parallel, ``write_all`` a file of both, joined in order of the rows."""
+    kinds = "vec_id long, a binary, b binary"
+    rows = 1024
+
+    def each(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                own = b.slice(k, rows)
+                v = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                parts = [np.frombuffer(x, np.uint8) for x in write(v)]
+                offsets = [np.arange(own.num_rows + 1, dtype=np.int32) * (len(x) // own.num_rows) for x in parts]
+                yield pa.RecordBatch.from_arrays([own.column(0), *[pa.Array.from_buffers(pa.binary(), own.num_rows, [None, pa.py_buffer(o), pa.py_buffer(x)]) for o, x in zip(offsets, parts, strict=True)]], ["vec_id", "a", "b"])
+
+    def joined(a: pa.Array) -> bytes:
+        off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else [0, 0]
+        return a.buffers()[2][int(off[0]) : int(off[-1])].to_pybytes() if len(a) else b""
 
     def run(batches):
         for b in batches:
-            for rows in b.column(0).to_pylist():
-                v = np.array([r["embedding"] for r in rows], np.float64).ravel()
-                low = _integers(v)
-                both = b"".join(synth.grib2(64, n, 0, synth.red(-1.0, -10, 0, 12) + b"\0", synth.pack(x, 12), None, len(x), synth.latlon2(64, n, 90.0, 0.0, -90.0, 354.375)) for x in (low, 2048 - low))
-                yield pa.RecordBatch.from_arrays([pa.array(["one"]), pa.array([both], pa.binary())], ["path", "content"])
+            for k in range(b.num_rows):
+                own = b.column(0).slice(k, 1).flatten()
+                content = write_all(len(own), joined(own.field("a")), joined(own.field("b")))
+                yield pa.RecordBatch.from_arrays([pa.array(["one"]), pa.array([content], pa.binary())], ["path", "content"])
+
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(each, kinds)
+    whole = packed.groupBy().agg(F.array_sort(F.collect_list(F.struct("vec_id", "a", "b"))).alias("a"))
+    return whole.mapInArrow(run, "path string, content binary")
+
+
+def _one(spark, d) -> DataFrame:
+    """The embeddings as one file of two messages, a row of the grid each; the 64 values of a row fill 96 octets."""
+
+    def write(v):
+        low = _integers(v)
+        return synth.pack(low, 12), synth.pack(2048 - low, 12)
+
+    def message(n, body):
+        return synth.grib2(64, n, 0, synth.red(-1.0, -10, 0, 12) + b"\0", body, None, 64 * n, synth.latlon2(64, n, 90.0, 0.0, -90.0, 354.375))
 
-    return rows.select("a").mapInArrow(run, "path string, content binary")
+    return gathered(spark, d, write, lambda n, *bodies: b"".join(message(n, x) for x in bodies))
 
 
 def _combined(spark, d, op="a_plus_b"):

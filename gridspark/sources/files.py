@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codec import grib1, grib2, hdf5, netcdf3
-from ..codec.bits import FormatError
+from ..codec.bits import SLAB, FormatError
 
 CATALOG = "path string, message_index int, edition int, byte_offset long, byte_length long, grid_type string, ni int, nj int, lat_first double, lon_first double, lat_last double, lon_last double, packing string, centre int, parameter string, level_type int, reference_time string, meta string, error string"
 FIELD = "path string, message_index int, edition int, grid_type string, ni int, nj int, values array<double>, error string"
@@ -72,6 +72,10 @@ def _messages(data: bytes):
     return codec, found
 
 
+def _meta(m: dict) -> str:
+    return json.dumps({k: v for k, v in m.items() if not isinstance(v, (bytes, tuple))})
+
+
 def _each(b: pa.RecordBatch):
     """(path, bytes) of each file; null content has no bytes."""
     return zip(b.column(0).to_pylist(), (v or b"" for v in b.column(1).to_pylist()), strict=True)
@@ -94,8 +98,7 @@ def catalog(files: DataFrame) -> DataFrame:
                     for m in _messages(data)[1]:
                         g = m["grid"]
                         p = f"{m['discipline']}/{m.get('category')}/{m.get('number')}" if m["edition"] == 2 else str(m["parameter"])
-                        plain = {k: v for k, v in m.items() if not isinstance(v, (bytes, tuple))}
-                        rows.append((path, m["message_index"], m["edition"], m["byte_offset"], m["byte_length"], g["grid_type"], g.get("ni"), g.get("nj"), *[g.get(k) for k in ("lat_first", "lon_first", "lat_last", "lon_last")], m["packing"], m["centre"], p, m.get("surface_type", m.get("level_type")), m["reference_time"], json.dumps(plain), None))
+                        rows.append((path, m["message_index"], m["edition"], m["byte_offset"], m["byte_length"], g["grid_type"], g.get("ni"), g.get("nj"), *[g.get(k) for k in ("lat_first", "lon_first", "lat_last", "lon_last")], m["packing"], m["centre"], p, m.get("surface_type", m.get("level_type")), m["reference_time"], _meta(m), None))
                 except BROKEN as e:
                     rows.append((path, *[None] * 16, "{}", _told(e)))
             yield _rows(kinds, rows)
@@ -168,6 +171,77 @@ def message(fields: DataFrame, index: int) -> DataFrame:
     return own.unionByName(gone.select(*blank))
 
 
+def _slabs(codec, m: dict, data: bytes):
+    """(first cell, values) of a message, at most SLAB cells each, in storage order; reduced rows are expanded."""
+    if codec is grib2 and "pl" not in m["grid"]:
+        yield from grib2.slabs(m, data)
+        return
+    v = codec.decode(m, data)
+    v = grib1.expand_reduced(v, m["grid"]["pl"]) if "pl" in m["grid"] else v
+    yield from ((k, v[k : k + SLAB]) for k in range(0, len(v), SLAB))
+
+
+def _width(g: dict) -> int | None:
+    return max(g["pl"]) if "pl" in g else g.get("ni")
+
+
+def found(files: DataFrame, index: int) -> DataFrame:
+    """(path, ni, nj, meta, error) of one message of each file; it is decoded, a slab at a time, to know that it can be."""
+    kinds = [("path", pa.string()), ("ni", pa.int32()), ("nj", pa.int32()), ("meta", pa.string()), ("error", pa.string())]
+
+    def one(path, data):
+        try:
+            codec, held = _messages(data)
+            if not 0 <= index < len(held):
+                return path, None, None, None, f"no message {index}: the file has {len(held)}"
+            m = held[index]
+            for _ in _slabs(codec, m, data):
+                pass
+            return path, _width(m["grid"]), m["grid"].get("nj"), _meta(m), None
+        except BROKEN as e:
+            return path, None, None, None, _told(e)
+
+    def run(batches):
+        for b in batches:
+            for path, data in _each(b):
+                yield _rows(kinds, [one(path, data)])
+
+    return files.select("path", "content").mapInArrow(run, "path string, ni int, nj int, meta string, error string")
+
+
+def _slab(first: int, ni: int, values: np.ma.MaskedArray) -> pa.RecordBatch:
+    flat = pa.array(np.ma.getdata(values).astype(np.float64).ravel(), mask=np.ma.getmaskarray(values).ravel())
+    lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+    return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([ni], pa.int32()), lists], ["first", "ni", "values"])
+
+
+def _long(slabs: DataFrame) -> DataFrame:
+    """(j, i, value) of slabs (first, ni, values), shared out over tasks."""
+    p = F.col("first") + F.col("_p")
+    flat = slabs.hint("rebalance").select("first", "ni", F.posexplode("values").alias("_p", "value"))
+    return flat.select(p.alias("_p"), "ni", "value").select(F.expr("cast(_p div ni as int)").alias("j"), (F.col("_p") % F.col("ni")).cast("int").alias("i"), "value")
+
+
+SLABS = "first long, ni int, values array<double>"
+
+
+def cells(files: DataFrame, index: int) -> DataFrame:
+    """(j, i, value) of one message of one file, NULL where missing, decoded a slab at a time; no row where ``found`` tells an error."""
+
+    def run(batches):
+        for b in batches:
+            for _, data in _each(b):
+                try:
+                    codec, held = _messages(data)
+                    if 0 <= index < len(held):
+                        for first, v in _slabs(codec, held[index], data):
+                            yield _slab(first, _width(held[index]["grid"]), v)
+                except BROKEN:
+                    continue
+
+    return _long(files.select("path", "content").mapInArrow(run, SLABS))
+
+
 def coefficients(files: DataFrame) -> DataFrame:
     """Spherical-harmonic coefficients of spectral messages; files that cannot be read give none (``fields`` says why)."""
 
@@ -211,31 +285,81 @@ def variables(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, VARIABLES)
 
 
+def _opened(data: bytes, name: str):
+    """(stored values, a function that makes a piece of them doubles) of a variable; classic files are read in place."""
+    if data[:4] == b"\x89HDF":
+        return hdf5.values(data, name), lambda piece: piece
+    raw, v = netcdf3.packed(data, netcdf3.header(data), name)
+    return raw, lambda piece: netcdf3.numbers(piece, v)
+
+
 def variable_values(files: DataFrame, name: str) -> DataFrame:
-    """(path, idx array, value): a variable in long form, NULL where missing, in slabs of its first dimension.
+    """(path, idx array, value): a variable in long form, NULL where missing, at most SLAB values at a time.
 
     A file that cannot be read, or lacks the variable, gives no row; ``variables`` says why.
     """
     schema = "path string, idx array<int>, value double"
 
+    def gathered(parts: list) -> pa.RecordBatch:
+        """One batch of the (path, shape, first cell, values) of small files or pieces of large ones."""
+        rank = np.concatenate([np.full(v.size, len(shape), np.int32) for _, shape, _, v in parts])
+        at = np.concatenate([np.stack(np.unravel_index(np.arange(first, first + v.size), shape), 1).astype(np.int32).ravel() for _, shape, first, v in parts])
+        flat = pa.array(np.concatenate([np.ma.getdata(v).astype(np.float64) for *_, v in parts]), mask=np.concatenate([np.ma.getmaskarray(v) for *_, v in parts]))
+        idx = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rank)].astype(np.int32)), pa.array(at))
+        paths = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), [v.size for *_, v in parts])), pa.array([p for p, *_ in parts], pa.string()))
+        return pa.RecordBatch.from_arrays([paths.cast(pa.string()), idx, flat], ["path", "idx", "value"])
+
     def run(batches):
         for b in batches:
+            held, count = [], 0
             for path, data in _each(b):
                 try:
-                    v = hdf5.values(data, name) if data[:4] == b"\x89HDF" else netcdf3.values(data, netcdf3.header(data), name)
+                    raw, made = _opened(data, name)
                 except BROKEN:
                     continue
-                for k in range(len(v)) if v.ndim else []:
-                    slab = np.atleast_1d(v[k])
-                    at = np.stack([np.full(slab.size, k), *np.unravel_index(np.arange(slab.size), slab.shape)][: v.ndim]).T
-                    flat = pa.array(np.ma.getdata(slab).ravel().astype(np.float64), mask=np.ma.getmaskarray(slab).ravel())
-                    off = pa.array(np.arange(slab.size + 1, dtype=np.int32) * v.ndim)
-                    idx = pa.ListArray.from_arrays(off, pa.array(at.ravel().astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * slab.size), idx, flat], ["path", "idx", "value"])
+                row = int(np.prod(raw.shape[1:], dtype=np.int64)) if raw.ndim else 0
+                step = max(1, SLAB // row) if row else 0
+                for k in range(0, len(raw), step) if row else []:
+                    v = made(raw[k : k + step]).reshape(-1)
+                    for a in range(0, v.size, SLAB):
+                        held.append((path, raw.shape, k * row + a, v[a : a + SLAB]))
+                        count += held[-1][-1].size
+                        if count >= SLAB:
+                            yield gathered(held)
+                            held, count = [], 0
+            if held:
+                yield gathered(held)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def variable_plane(files: DataFrame, name: str, y: str, x: str, dims: list[str], at: dict[str, int]) -> DataFrame:
+    """(j, i, value) of a slice of one file's variable over y and x, NULL where missing; other parts are not decoded (HDF5: whole chunks are).
+
+    ``at`` fixes every dimension but y and x; a place outside its dimension gives no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            for _, data in _each(b):
+                try:
+                    raw, made = _opened(data, name)
+                except BROKEN:
+                    continue
+                if any(not 0 <= k < raw.shape[dims.index(d)] for d, k in at.items()):
+                    continue
+                plane = raw[tuple(at.get(d, slice(None)) for d in dims)]
+                plane = plane if dims.index(y) < dims.index(x) else plane.T
+                ni = plane.shape[1]
+                step = max(1, SLAB // ni) if ni else 0
+                for j in range(0, len(plane), step) if ni else []:
+                    v = made(plane[j : j + step]).reshape(-1)
+                    for a in range(0, v.size, SLAB):
+                        yield _slab(j * ni + a, ni, v[a : a + SLAB])
+
+    return _long(files.select("path", "content").mapInArrow(run, SLABS))
+
+
 def set_p1(files: DataFrame, message_offset: Column, value: Column) -> DataFrame:
     """Files with the P1 octet (offset 26 from a message's first byte) of one message replaced."""
     at = message_offset + 26
