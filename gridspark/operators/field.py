@@ -31,8 +31,11 @@ def combine_expr(a: Column, b: Column, op: str) -> Column:
 
 
 def combine(a: DataFrame, b: DataFrame, op: str, on: tuple[str, ...] = ("j", "i")) -> DataFrame:
-    """a and b cell by cell: an equi-join on position; cells b lacks are missing."""
-    right = b.select(*on, F.col("value").alias("_b"))
+    """a and b cell by cell: an equi-join on position; cells b lacks are missing.
+
+    A field is never sent whole to the driver: the size of one that is decoded from a file is not known beforehand.
+    """
+    right = b.select(*on, F.col("value").alias("_b")).hint("merge")
     return a.join(right, list(on), "left").withColumn("value", combine_expr(F.col("value"), F.col("_b"), op)).drop("_b")
 
 

@@ -46,7 +46,7 @@ def warp(field: DataFrame, grid, target, method: str = "nearest", flip: bool = F
     if method not in METHODS:
         raise ValueError(f"unknown resampling {method!r}; known: {', '.join(METHODS)}")
     p = located(field.sparkSession, grid, target, flip)
-    cells = field.select("j", "i", "value")
+    cells = field.select("j", "i", "value").hint("merge")  # as in field.combine
     off = {"i": -1 - F.col("px"), "j": -1 - F.col("py")}
     if method == "nearest":
         i, j = _cell(grid, F.col("fi"), F.col("fj"))
@@ -58,18 +58,18 @@ def warp(field: DataFrame, grid, target, method: str = "nearest", flip: bool = F
     keyed = p.withColumns({"tx": tx, "ty": ty, "i": F.coalesce(i.cast("int"), off["i"]), "j": F.coalesce(j.cast("int"), off["j"])})
     x, y = F.col("tx"), F.col("ty")
     value = (1 - x) * (1 - y) * F.col("v00") + x * (1 - y) * F.col("v10") + (1 - x) * y * F.col("v01") + x * y * F.col("v11")
-    return keyed.join(_corners(cells, grid), ["j", "i"], "left").select("px", "py", "lat", "lon", value.alias("value"))
+    return keyed.join(_corners(cells, grid).hint("merge"), ["j", "i"], "left").select("px", "py", "lat", "lon", value.alias("value"))
 
 
 def _corners(cells: DataFrame, grid) -> DataFrame:
     """(j, i, v00, v10, v01, v11): each cell with its neighbours to the right, below and across; the last stand for themselves."""
     ni, nj, wraps = grid.ni, grid.nj, getattr(grid, "periodic", False)
     left = F.col("i") - 1
-    right = cells.select("j", (F.pmod(left, F.lit(ni)) if wraps else left).alias("i"), F.col("value").alias("v10"))
+    right = cells.select("j", (F.pmod(left, F.lit(ni)) if wraps else left).alias("i"), F.col("value").alias("v10")).hint("merge")
     two = cells.withColumnRenamed("value", "v00").join(right, ["j", "i"], "left")
     if not wraps:
         two = two.withColumn("v10", F.when(F.col("i") == ni - 1, F.col("v00")).otherwise(F.col("v10")))
-    below = two.select((F.col("j") - 1).alias("j"), "i", F.col("v00").alias("v01"), F.col("v10").alias("v11"))
+    below = two.select((F.col("j") - 1).alias("j"), "i", F.col("v00").alias("v01"), F.col("v10").alias("v11")).hint("merge")
     last = F.col("j") == nj - 1
     own = lambda c, d: F.when(last, F.col(d)).otherwise(F.col(c)).alias(c)
     return two.join(below, ["j", "i"], "left").select("j", "i", "v00", "v10", own("v01", "v00"), own("v11", "v10"))
@@ -135,7 +135,7 @@ def probe(field: DataFrame, grid, points: DataFrame, target=None, flip: bool = F
         p = p.withColumns({"fi": fi, "fj": fj})
         i, j = _cell(grid, F.col("fi"), F.col("fj"))
         p = p.withColumns({"grid_i": i, "grid_j": j, "lon": normalise_lon(F.col("_lon"))})
-    cells = field.select(F.col("j").alias("grid_j"), F.col("i").alias("grid_i"), "value")
+    cells = field.select(F.col("j").alias("grid_j"), F.col("i").alias("grid_i"), "value").hint("merge")  # as in field.combine
     return p.join(cells, ["grid_j", "grid_i"], "left").select("px", "py", "lat", "lon", "grid_i", "grid_j", "value")
 
 
@@ -177,7 +177,7 @@ def contours(field: DataFrame, levels: DataFrame) -> DataFrame:
     f = field.select("j", "i", F.when(finite(F.col("value")), F.col("value")).alias("bl"))
     right = W.partitionBy("j").orderBy("i")
     two = f.withColumns({"br": F.lead("bl").over(right), "ni_": F.lead("i").over(right)}).where("ni_ = i + 1").drop("ni_")
-    up = two.select((F.col("j") - 1).alias("j"), "i", F.col("bl").alias("tl"), F.col("br").alias("tr"))
+    up = two.select((F.col("j") - 1).alias("j"), "i", F.col("bl").alias("tl"), F.col("br").alias("tr")).hint("merge")
     cell = two.join(up, ["j", "i"]).where("bl is not null and br is not null and tl is not null and tr is not null")
     lo, hi = F.least("bl", "br", "tl", "tr"), F.greatest("bl", "br", "tl", "tr")
     c = cell.withColumns({"_lo": lo, "_hi": hi}).join(F.broadcast(levels.select("level")), (F.col("level") >= F.col("_lo")) & (F.col("level") <= F.col("_hi")))
