@@ -16,7 +16,7 @@ from ..sources import files as S
 from ..sources import grids as N
 from .catalog import ORACLES, query
 from .catalog_files import QUANT
-from .catalog_more import _decoded, _integers, _written
+from .catalog_more import _decoded, _integers, _written, gathered
 from .fields import FE, fe, fe_grid, r6, s6, table
 
 
@@ -205,19 +205,18 @@ query("l16_slice_geometry",
 
 
 def _whole(spark, d) -> DataFrame:
-    """The embeddings as one NetCDF file: t(time, lat, lon), a latitude each, doubled at the second time (at most 2,000 rows)."""
-    rows = table(spark, d, "embeddings").select(F.struct("vec_id", "embedding").alias("r")).groupBy().agg(F.array_sort(F.collect_list("r")).alias("a"))
+    """The embeddings as one NetCDF file: t(time, lat, lon), a latitude each, doubled at the second time."""
 
-    def run(batches):
-        for b in batches:
-            for own in b.column(0).to_pylist():
-                x = _integers(np.array([r["embedding"] for r in own], np.float64)) - 1024
-                lat = 90.0 - np.arange(len(x)) * 180.0 / (len(x) - 1)
-                t = (["time", "lat", "lon"], np.stack([x, 2 * x]).astype(np.int32), {"scale_factor": np.float64(1 / 1024)})
-                content = synth.netcdf3({"time": 2, "lat": len(x), "lon": 64}, {"t": t, "lat": (["lat"], lat, {}), "lon": (["lon"], np.arange(64) * 5.625, {})})
-                yield pa.RecordBatch.from_arrays([pa.array(["one"]), pa.array([content], pa.binary())], ["path", "content"])
-
-    return rows.mapInArrow(run, "path string, content binary")
+    def write(v):
+        x = _integers(v) - 1024
+        return x.astype(">i4").tobytes(), (2 * x).astype(">i4").tobytes()
+
+    def whole(n, *times):
+        lat = 90.0 - np.arange(n) * 180.0 / (n - 1)
+        t = (["time", "lat", "lon"], np.frombuffer(b"".join(times), ">i4").reshape(2, n, 64), {"scale_factor": np.float64(1 / 1024)})
+        return synth.netcdf3({"time": 2, "lat": n, "lon": 64}, {"t": t, "lat": (["lat"], lat, {}), "lon": (["lon"], np.arange(64) * 5.625, {})})
+
+    return gathered(spark, d, write, whole)
 
 
 def _slice_probe(spark, d):
