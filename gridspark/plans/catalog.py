@@ -17,7 +17,7 @@ from ..functions import geodesy as G
 from ..functions.scalar import normalise_lon
 from ..operators import field as O
 from ..operators import render as R
-from .fields import FE, FH, FHT, POINTS, TRACKS, fe, fe_grid, fh, points, r6, s6, table, tracks
+from .fields import FE, FH, FHT, POINTS, TRACKS, fe, fe_grid, fh, keyed, points, r6, s6, table, tracks
 
 FLAGSHIP = "r01_warp_orthographic"
 QUERIES: dict = {}
@@ -293,7 +293,7 @@ query("w02_differences_skip_missing", f"WITH {FE} SELECT j, i AS pos, CASE WHEN
 
 def _runs(spark, d):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    l = table(spark, d, "lineitem").withColumn("rn", F.row_number().over(w))
+    l = keyed(spark, d, "lineitem", "l_orderkey").withColumn("rn", F.row_number().over(w))
     codes = l.select("l_orderkey", F.col("rn").alias("line"), F.posexplode(F.array((F.col("rn") % 4).cast("long"), F.lit(4) + F.col("l_quantity").cast("long") % 12)).alias("k", "code"))
     codes = codes.withColumn("pos", F.col("line") * 2 + F.col("k"))
     return O.run_length(codes.select("l_orderkey", "pos", "code"), 3, 4, "l_orderkey").select("l_orderkey", "pos", "level")

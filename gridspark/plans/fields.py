@@ -12,6 +12,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+KEYED_ROWS = 250_000  # rows of a table that a task sorts by key
+
+
+def keyed(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A table dealt by a key to as many tasks as its rows need: windows by the key sort a bounded number of rows in a task."""
+    t = table(spark, d, name)
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(max(own, -(-t.count() // KEYED_ROWS)), key)
+
+
 def fe(spark: SparkSession, d: str) -> DataFrame:
     """The embeddings as a field: row j = vec_id, column i = component."""
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("j"), F.posexplode("embedding").alias("i", "value")).withColumn("value", F.col("value").cast("double"))

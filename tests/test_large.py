@@ -95,3 +95,30 @@ def test_slice_of_a_variable_is_read_in_place(spark):
     turned = {(r.j, r.i): r.value for r in S.variable_plane(one, "v", "x", "y", ["t", "y", "x"], {"t": 2}).collect()}
     assert turned == {(i, j): v for (j, i), v in want.items()}
     assert S.variable_plane(one, "v", "y", "x", ["t", "y", "x"], {"t": 40}).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s07_grib1_grids", "s12_grib2_grids", "s13_earth_shapes", "s14_products"])
+def test_metadata_is_parsed_once(spark, sf, name):
+    """A parse for each of up to 18 columns made the JVM the slow part."""
+    text = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in text and text.count("from_json") == 1
+
+
+def test_batches_are_taken_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from gridspark.sources import files as S
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(3 * S.ROWS + 1))], ["k"])
+    parts = list(S.few(iter([b, b.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == S.ROWS and [k for p in parts for k in p.column(0).to_pylist()] == list(range(b.num_rows))
+
+
+def test_run_lengths_are_dealt_by_rows(spark, sf, monkeypatch):
+    """The session's partitions alone gave a task a share of the table that grew with it."""
+    from gridspark.plans import fields
+
+    monkeypatch.setattr(fields, "KEYED_ROWS", 500)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    out = catalog.QUERIES["p22_run_length"](spark, sf)
+    assert out.rdd.getNumPartitions() == -(-rows // 500)
