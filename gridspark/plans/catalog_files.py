@@ -21,7 +21,7 @@ def _files(spark, d, kind: str) -> DataFrame:
     """(path = vec_id, content): one 8 x 8 message per embedding, quantised to 1/1024."""
 
     def run(batches):
-        for b in batches:
+        for b in S.few(batches):
             out = []
             for e in b.column(1).to_pylist():
                 v = np.array(e, np.float64)

@@ -24,7 +24,7 @@ def _written(spark, d, write) -> DataFrame:
     """(path = vec_id, content): one 8 x 8 message per embedding."""
 
     def run(batches):
-        for b in batches:
+        for b in S.few(batches):
             out = [write(np.array(e, np.float64)) for e in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
@@ -119,16 +119,13 @@ query("s04_broken_files", "SELECT kind, o.of AS of, vec_id::INT AS j, kind = 'wh
 def gathered(spark, d, write, write_all) -> DataFrame:
     """The embeddings as one file (path = one, content): ``write`` makes each row two byte strings in parallel, ``write_all`` a file of both, joined in order of the rows."""
     kinds = "vec_id long, a binary, b binary"
-    rows = 1024
 
     def each(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, rows):
-                own = b.slice(k, rows)
-                v = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                parts = [np.frombuffer(x, np.uint8) for x in write(v)]
-                offsets = [np.arange(own.num_rows + 1, dtype=np.int32) * (len(x) // own.num_rows) for x in parts]
-                yield pa.RecordBatch.from_arrays([own.column(0), *[pa.Array.from_buffers(pa.binary(), own.num_rows, [None, pa.py_buffer(o), pa.py_buffer(x)]) for o, x in zip(offsets, parts, strict=True)]], ["vec_id", "a", "b"])
+        for b in S.few(batches):
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            parts = [np.frombuffer(x, np.uint8) for x in write(v)]
+            offsets = [np.arange(b.num_rows + 1, dtype=np.int32) * (len(x) // b.num_rows) for x in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(o), pa.py_buffer(x)]) for o, x in zip(offsets, parts, strict=True)]], ["vec_id", "a", "b"])
 
     def joined(a: pa.Array) -> bytes:
         off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else [0, 0]

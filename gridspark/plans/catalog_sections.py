@@ -24,19 +24,21 @@ def _from_orders(spark, d, write) -> DataFrame:
     """(path = o_orderkey, content): a message per order, of its two keys."""
 
     def run(batches):
-        for b in batches:
+        for b in S.few(batches):
             out = [write(k, c) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").mapInArrow(run, "path string, content binary")
 
 
-def _meta(path: str, kind: str = "double"):
-    return F.get_json_object("meta", f"$.{path}").cast(kind)
+def _read(messages: DataFrame, top: str = "", grid: str = "") -> DataFrame:
+    """(o_orderkey, grid_type, m): the parts of each message's metadata, which is parsed once."""
+    kinds = ", ".join(x for x in (top, f"grid struct<{grid}>" if grid else "") if x)
+    return S.catalog(messages).select(F.col("path").cast("long").alias("o_orderkey"), "grid_type", F.from_json("meta", kinds).alias("m"))
 
 
 def _rounded(name: str, path: str):
-    return r6(_meta(path)).alias(name)
+    return r6(F.col(f"m.{path}")).alias(name)
 
 
 # ---- grids -------------------------------------------------------------------------------
@@ -71,9 +73,8 @@ def _grid1(k: int, c: int) -> bytes:
 
 def _grid_rows(write):
     def run(spark, d):
-        f = S.catalog(_from_orders(spark, d, write))
-        own = [_meta("grid.ni", "int").alias("ni"), _meta("grid.nj", "int").alias("nj"), _meta("grid.south", "boolean").alias("south"), *[_rounded(n, f"grid.{n}") for n in _GRID]]
-        return f.select(F.col("path").cast("long").alias("o_orderkey"), "grid_type", *own)
+        f = _read(_from_orders(spark, d, write), grid="ni int, nj int, south boolean, " + ", ".join(f"{n} double" for n in _GRID))
+        return f.select("o_orderkey", "grid_type", "m.grid.ni", "m.grid.nj", "m.grid.south", *[_rounded(n, f"grid.{n}") for n in _GRID])
 
     return run
 
@@ -107,7 +108,7 @@ query("s13_earth_shapes",
     "WITH o AS (SELECT o_orderkey, (o_custkey % 10)::INT AS code, o_orderkey % 1000 AS v FROM orders) SELECT o_orderkey, "
     f"{s6('CASE code WHEN 0 THEN 6367470 WHEN 1 THEN 6370000 + v / 100.0::DOUBLE WHEN 2 THEN 6378160 WHEN 3 THEN (637800 + v) * 10 WHEN 4 THEN 6378137 WHEN 5 THEN 6378137 WHEN 6 THEN 6371229 WHEN 7 THEN 6378000 + v WHEN 8 THEN 6371200 ELSE 6377563.396::DOUBLE END')} AS major, "
     f"{s6('CASE code WHEN 0 THEN 6367470 WHEN 1 THEN 6370000 + v / 100.0::DOUBLE WHEN 2 THEN 6356775 WHEN 3 THEN (635600 + v) * 10 WHEN 4 THEN 6356752.314::DOUBLE WHEN 5 THEN 6356752.314245::DOUBLE WHEN 6 THEN 6371229 WHEN 7 THEN 6356000 + v WHEN 8 THEN 6371200 ELSE 6356256.909::DOUBLE END')} AS minor FROM o")(
-    lambda spark, d: S.catalog(_from_orders(spark, d, _grid2)).select(F.col("path").cast("long").alias("o_orderkey"), _rounded("major", "grid.earth_major"), _rounded("minor", "grid.earth_minor")))
+    lambda spark, d: _read(_from_orders(spark, d, _grid2), grid="earth_major double, earth_minor double").select("o_orderkey", _rounded("major", "grid.earth_major"), _rounded("minor", "grid.earth_minor")))
 query("s08_predefined_grids", "SELECT o_orderkey, [144, 360, 720][(o_orderkey % 3 + 1)::INT] AS ni, [73, 181, 361][(o_orderkey % 3 + 1)::INT] AS nj, 90.0 AS lat_first, [357.5, 359.0, 359.5][(o_orderkey % 3 + 1)::INT]::DOUBLE AS lon_last FROM orders")(
     lambda spark, d: S.catalog(_from_orders(spark, d, lambda k, c: Y.message1(None, synth.bds(0, 0, 0.0, 0, b""), 2 + k % 3))).select(F.col("path").cast("long").alias("o_orderkey"), "ni", "nj", "lat_first", "lon_last"))
 
@@ -123,7 +124,8 @@ query("s14_products",
     "SELECT o_orderkey, [0, 8, 11][(o_orderkey % 3 + 1)::INT] AS template, (o_custkey % 192)::INT AS category, (o_orderkey % 192)::INT AS number, (o_orderkey % 14)::INT AS unit, (o_custkey - 700)::INT AS forecast, "
     "CASE WHEN o_orderkey % 7 = 0 THEN 255 ELSE o_orderkey % 120 END::INT AS kind, "
     f"CASE WHEN o_orderkey % 7 <> 0 THEN {s6('(o_orderkey - 3000 * (o_custkey % 3)) * pow(10, -(o_custkey % 11 - 5))')} END AS surface, CASE WHEN o_orderkey % 5 >= 2 THEN round(o_custkey / 100.0::DOUBLE, 6) END AS surface2 FROM orders")(
-    lambda spark, d: S.catalog(_from_orders(spark, d, _product)).select(F.col("path").cast("long").alias("o_orderkey"), _meta("product_template", "int").alias("template"), _meta("category", "int").alias("category"), _meta("number", "int").alias("number"), _meta("time_unit", "int").alias("unit"), _meta("forecast_time", "int").alias("forecast"), _meta("surface_type", "int").alias("kind"), _rounded("surface", "surface_value"), _rounded("surface2", "surface2_value")))
+    lambda spark, d: _read(_from_orders(spark, d, _product), "product_template int, category int, number int, time_unit int, forecast_time int, surface_type int, surface_value double, surface2_value double").select(
+        "o_orderkey", *[F.col(f"m.{a}").alias(n) for a, n in (("product_template", "template"), ("category", "category"), ("number", "number"), ("time_unit", "unit"), ("forecast_time", "forecast"), ("surface_type", "kind"))], _rounded("surface", "surface_value"), _rounded("surface2", "surface2_value")))
 
 
 def _reprojectable(spark, d):
@@ -183,7 +185,7 @@ def _gridded(spark, d) -> DataFrame:
     """(path = vec_id, content): a variable (time, lat, lon) of 4 x 4 x 4 values with a grid mapping, per embedding."""
 
     def run(batches):
-        for b in batches:
+        for b in S.few(batches):
             out = []
             for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k, place = int(k), np.arange(4.0)

@@ -76,6 +76,16 @@ def _meta(m: dict) -> str:
     return json.dumps({k: v for k, v in m.items() if not isinstance(v, (bytes, tuple))})
 
 
+ROWS = 512  # files of a batch that are Python objects at a time
+
+
+def few(batches):
+    """The rows of Arrow batches, ROWS at a time, so that the objects made of them take bounded memory whatever a batch holds."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def _each(b: pa.RecordBatch):
     """(path, bytes) of each file; null content has no bytes."""
     return zip(b.column(0).to_pylist(), (v or b"" for v in b.column(1).to_pylist()), strict=True)
@@ -91,7 +101,7 @@ def catalog(files: DataFrame) -> DataFrame:
     kinds = [("path", pa.string()), ("message_index", pa.int32()), ("edition", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()), ("grid_type", pa.string()), ("ni", pa.int32()), ("nj", pa.int32()), *[(k, pa.float64()) for k in ("lat_first", "lon_first", "lat_last", "lon_last")], ("packing", pa.string()), ("centre", pa.int32()), ("parameter", pa.string()), ("level_type", pa.int32()), ("reference_time", pa.string()), ("meta", pa.string()), ("error", pa.string())]
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             rows = []
             for path, data in _each(b):
                 try:
@@ -115,7 +125,7 @@ def spread(files: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for path, data in _each(b):
                 try:
                     parts = [(m["message_index"], data[m["byte_offset"] : m["byte_offset"] + m["byte_length"]]) for m in _messages(data)[1]]
@@ -135,7 +145,7 @@ def fields(files: DataFrame) -> DataFrame:
     kinds = [("path", pa.string()), ("message_index", pa.int32()), ("edition", pa.int32()), ("grid_type", pa.string()), ("ni", pa.int32()), ("nj", pa.int32()), ("values", pa.list_(pa.float64())), ("error", pa.string())]
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for (path, data), first in zip(_each(b), b.column(2).to_pylist(), strict=True):
                 try:
                     codec, found = _messages(data)
@@ -202,7 +212,7 @@ def found(files: DataFrame, index: int) -> DataFrame:
             return path, None, None, None, _told(e)
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for path, data in _each(b):
                 yield _rows(kinds, [one(path, data)])
 
@@ -229,7 +239,7 @@ def cells(files: DataFrame, index: int) -> DataFrame:
     """(j, i, value) of one message of one file, NULL where missing, decoded a slab at a time; no row where ``found`` tells an error."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for _, data in _each(b):
                 try:
                     codec, held = _messages(data)
@@ -246,7 +256,7 @@ def coefficients(files: DataFrame) -> DataFrame:
     """Spherical-harmonic coefficients of spectral messages; files that cannot be read give none (``fields`` says why)."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for path, data in _each(b):
                 try:
                     codec, found = _messages(data)
@@ -272,7 +282,7 @@ def variables(files: DataFrame) -> DataFrame:
     """One row per variable of NetCDF files (classic or NetCDF-4), without values."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             rows = []
             for path, data in _each(b):
                 try:
@@ -310,7 +320,7 @@ def variable_values(files: DataFrame, name: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([paths.cast(pa.string()), idx, flat], ["path", "idx", "value"])
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             held, count = [], 0
             for path, data in _each(b):
                 try:
@@ -340,7 +350,7 @@ def variable_plane(files: DataFrame, name: str, y: str, x: str, dims: list[str],
     """
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             for _, data in _each(b):
                 try:
                     raw, made = _opened(data, name)
